@@ -7,11 +7,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegate.llm.sentences import sentence_spans
 
 
-@F.pandas_udf("array<struct<start:int,end:int>>")
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+@F.pandas_udf(_SPANS)
 def sentence_units(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Spans of a text's sentence units; null for null, none for blank."""
     for texts in batches:

@@ -34,7 +34,7 @@ _UNKNOWN, _INF = -(2**63), float("inf")
 
 def normal_label(label: Column) -> Column:
     """A label without case and surrounding white space, synonyms united; empty is null."""
-    bare = F.lower(F.regexp_replace(label, r"^[\s 　​﻿]+|[\s 　​﻿]+$", ""))
+    bare = F.lower(F.regexp_replace(label, r"^[\s\u00a0\u3000\u200b\ufeff]+|[\s\u00a0\u3000\u200b\ufeff]+$", ""))
     for word, meaning in SYNONYMS.items():
         bare = F.when(bare == word, meaning).otherwise(bare)
     return F.when(bare != "", bare)

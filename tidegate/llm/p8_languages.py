@@ -45,7 +45,7 @@ def language_label(label: Column, codes: DataFrame) -> Column:
         for word in (r["code"], r["iso3"], r["name"]):
             if word:
                 known[word.strip().lower()] = r["code"]
-    bare = F.lower(F.trim(F.regexp_replace(label, r"[\s ]+", " ")))
+    bare = F.lower(F.trim(F.regexp_replace(label, r"[\s\u00a0]+", " ")))
     table = F.create_map(*[F.lit(x) for kv in sorted(known.items()) for x in kv])
     return F.coalesce(table[bare], table[F.regexp_extract(bare, r"^([a-z]{2,3})[-_]", 1)])
 

@@ -27,7 +27,7 @@ END = """etc usw usf etw ltd inc corp co cie cía gmbh ag plc jr sen a.m p.m am
 dept ave incl. jan feb mar apr jun jul aug sep sept oct nov dec janv févr avr juil fev abr ago set dez ene abr dic mär okt dez
 тыс млн млрд руб грн коп тис млрд г гг р рр ч др пр ін etc. bros est млн. ฯลฯ ex ej""".split()
 
-_SPACE = frozenset("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B))))
+_SPACE = frozenset("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
 _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "‘": "’", "‚": "‘’", '"': '"', "'": "'"}
 _BRACKETS = frozenset("([{（【")
 _CLOSERS = frozenset(")]}）】」』》〉”»›’\"'")

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: the pattern of one token.
-TOKEN = r"[A-Za-z0-9À-ɏЀ-ӿ]{1,6}|[^A-Za-z0-9À-ɏЀ-ӿ\u0009-\u000d  　]"
+TOKEN = r"[A-Za-z0-9\u00c0-\u024f\u0400-\u04ff]{1,6}|[^A-Za-z0-9\u00c0-\u024f\u0400-\u04ff\u0009-\u000d\u0020\u00a0\u3000]"
 TOKEN_RE = re.compile(TOKEN)
 
 
