@@ -60,7 +60,7 @@ def stop_positions(traces: DataFrame) -> DataFrame:
     before = Window.partitionBy("trace_id").orderBy("_no").rowsBetween(Window.unboundedPreceding, 0)
     body = F.length(F.regexp_replace("_piece", rf"[{STOPS}]+[{CLOSERS}]*[{SPACE}]*\z", ""))
     ends = pieces.select("trace_id", body.alias("_body"), F.length("_piece").alias("_len"), F.sum(F.length("_piece")).over(before).alias("_end"))
-    return ends.select("trace_id", F.explode(F.sequence(F.col("_end") - F.col("_len") + F.col("_body") + 1, F.col("_end"))).cast("int").alias("stop_character"))
+    return ends.select("trace_id", F.explode(F.sequence((F.col("_end") - F.col("_len") + F.col("_body") + 1).cast("int"), F.col("_end").cast("int"))).alias("stop_character"))
 
 
 def numbered(tokens: DataFrame, sequences: DataFrame, traces: DataFrame, max_sentence: int = 128) -> DataFrame:
