@@ -130,7 +130,7 @@ class _Paragraph:
                 return -1
             self.number = k
         elif m["dash"]:
-            if open_unit and n < self.high and self.t[n].islower():
+            if open_unit and n < self.high and self.t[n].islower() and self.line[:1] != m["dash"]:
                 return -1
         elif m[0].rstrip().endswith((":", "：")) and not _SPEAKER.match(m[0].strip()):
             return -1
@@ -247,6 +247,8 @@ class _Paragraph:
         if not spaced:
             if _cjk(x) and _cjk(prev):
                 return True
+            if _caseless(x) and prev.isalnum() and not _caseless(prev) and not kind and self.t.count(" ", self.start, a) > 2:
+                return True  # a sentence of another script follows without a space
             if not x.isupper() or kind in (1, 2) or prev.isupper() or not (prev.isalnum() or prev in _CLOSERS):
                 return x in "“«¿„" and prev.isalpha() and kind not in (1, 2)
             if kind == 3 and "." in t[at:a]:
