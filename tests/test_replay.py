@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from tests.helpers import dense, results, sequences, tokens, traces
+from tests.helpers import LETTERS, TOKEN, dense, results, sequences, tokens, traces
 from tidegate.operators import replay as R
 
 CASES = [
@@ -71,21 +71,20 @@ def test_random_traces_against_a_walk(spark):
     """All modes and rules, texts with stops, quotes, CJK marks and odd white space, against a token-by-token walk."""
     rnd = random.Random(5)
     rules = [R.Rule(p, m, k, w) for p in R.POLICIES for m, k, w in (("cumulative", 1, None), ("cumulative", 3, None), ("consecutive", 2, None), ("window", 2, 4), ("buffer", 2, None))]
-    tks, trs, sqs, known = None, [], [], {}
+    rows, trs, sqs, known = [], [], [], {}
     for n in range(30):
         size = rnd.randint(1, 40)
         parts = [rnd.choice(["ab", "c ", ". ", "! ", "。", '."', " ", "　", "\U0001f600", "?)", " x", "e"]) for _ in range(size)]
         ends = [len("".join(parts[: i + 1])) for i in range(size)]
         labels = "".join(rnd.choice("SSUC") for _ in range(size))
         t = f"t{n}"
-        frame = tokens(spark, labels, ends, t)
-        tks = frame if tks is None else tks.unionByName(frame)
+        rows += [("r", t, i, ends[i - 1], 1.0, None, None, None, True, LETTERS[x]) for i, x in enumerate(labels, 1)]
         trs.append((t, "q", "".join(parts), "unsafe", 0, 1, size))
         sqs.append(("r", t, "m", None))
         known[t] = ("".join(parts), ends, labels)
     tr, sq = traces(spark, trs), sequences(spark, sqs)
     cap = 5
-    got = R.replay(R.numbered(tks, sq, tr, cap), sq, tr, rules, R.MODES, cap).collect()
+    got = R.replay(R.numbered(spark.createDataFrame(rows, TOKEN), sq, tr, cap), sq, tr, rules, R.MODES, cap).collect()
     assert len(got) == 30 * len(rules) * len(R.MODES)
     for r in got:
         text, ends, labels = known[r.trace_id]

@@ -19,11 +19,11 @@ OUTPUT = "run_id string, trace_id string, mode string, rule int, signal_token in
 STATE = "last int, start int, fired array<boolean>, counts array<int>, runs array<int>, inside array<int>, recent array<array<int>>"
 
 
-def live_signals(decisions: DataFrame, rules: list[Rule], mode: str = "token", timeout_ms: int = 600_000) -> DataFrame:
+def live_signals(decisions: DataFrame, rules: list[Rule], mode: str = "token", timeout_ms: int | None = None) -> DataFrame:
     """(run_id, trace_id, mode, rule, signal_token, released_tokens), once per rule that fires.
 
     decisions: run_id, trace_id, token_index, label, evaluated, terminal (a sentence ends at the token). Chunked, token
-    and sentence buffers; a sequence without tokens for timeout_ms is forgotten.
+    and sentence buffers; a sequence without tokens for timeout_ms is forgotten (None: never; with a timeout Spark runs batches without data too).
     """
     if mode not in ("token", "sentence", *CHUNKS):
         raise ValueError(f"mode {mode} has no live form")
@@ -62,7 +62,8 @@ def live_signals(decisions: DataFrame, rules: list[Rule], mode: str = "token", t
             if mode == "sentence" and bool(t.terminal):
                 start, inside = i, [0] * n
         state.update((last, start, fired, counts, runs, inside, recent))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(rows, columns=["run_id", "trace_id", "mode", "rule", "signal_token", "released_tokens"])
 
-    return decisions.groupBy("run_id", "trace_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return decisions.groupBy("run_id", "trace_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
