@@ -16,7 +16,7 @@ from tidegate.operators import metrics as M
 from tidegate.operators import prepare as P
 from tidegate.operators import replay as R
 from tidegate.plans import scoring as G
-from tidegate.session import table
+from tidegate.session import checkpointed, table
 
 BASE = [R.Rule("strict"), R.Rule("conservative")]
 STOPS = [
@@ -46,7 +46,8 @@ def _numbered(s: SparkSession, d: str) -> DataFrame:
 
 
 def _results(s: SparkSession, d: str, rules: list[R.Rule] | None = None, modes: tuple[str, ...] = R.MODES, with_text: bool = True) -> DataFrame:
-    return R.replay(_numbered(s, d), _sequences(s, d), _traces(s, d), rules or BASE, modes, MAX_SENTENCE, with_text)
+    numbered = checkpointed(_numbered(s, d))  # read for flags, ends, times and texts: numbered once
+    return R.replay(numbered, _sequences(s, d), _traces(s, d), rules or BASE, modes, MAX_SENTENCE, with_text)
 
 
 def _round(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -140,7 +141,7 @@ def r16_sweep_default(s, d):
 
 def r18_warmup_grid(s, d):
     """Block errors of restricted replay for several warm-up lengths."""
-    numbered, sequences, traces = _numbered(s, d), _sequences(s, d), _traces(s, d)
+    numbered, sequences, traces = checkpointed(_numbered(s, d)), _sequences(s, d), _traces(s, d)
     out = None
     for k in (0, 8, 32):
         for mode in SOME:

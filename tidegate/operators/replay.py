@@ -66,18 +66,18 @@ def stop_positions(traces: DataFrame) -> DataFrame:
 def numbered(tokens: DataFrame, sequences: DataFrame, traces: DataFrame, max_sentence: int = 128) -> DataFrame:
     """Tokens with what intervals need: n, previous and next stop, intervals before the stop, running latency, next index.
 
-    tokens: unique decisions. Stops of the responses enter the stream of tokens as rows of their own, so responses are
-    never joined to tokens; one shuffle by (run_id, trace_id).
+    tokens: unique decisions, placed by (run_id, trace_id). A response's stops are joined to its sequences as a short
+    list and tested in passing, so texts never meet tokens and tokens don't move again.
     """
     if max_sentence < 1:
         raise ValueError("max_sentence must be at least 1")
-    stops = sequences.select(*KEYS).join(stop_positions(traces), "trace_id").select(*KEYS, F.col("stop_character").alias("end_character"), F.lit(True).alias("_stop"))
-    rows = tokens.withColumn("_stop", F.lit(False)).unionByName(stops, allowMissingColumns=True).repartition(*KEYS)
-    by_char = Window.partitionBy(*KEYS).orderBy(F.col("end_character"), F.desc("_stop"), F.col("token_index"))
-    last_stop = F.last(F.when(F.col("_stop"), F.col("end_character")), True).over(by_char.rowsBetween(Window.unboundedPreceding, 0))
-    marked = rows.withColumn("_terminal", F.coalesce(last_stop == F.col("end_character"), F.lit(False))).where(~F.col("_stop")).drop("_stop")
+    lists = stop_positions(traces).groupBy("trace_id").agg(F.collect_list("stop_character").alias("_stops"))
+    stops = sequences.select(*KEYS).join(lists, "trace_id").select(*KEYS, "_stops")
+    marked = tokens.join(stops, KEYS, "left").withColumn("_terminal", F.coalesce(F.array_contains("_stops", F.col("end_character")), F.lit(False))).drop("_stops")
     sequence = Window.partitionBy(*KEYS).orderBy("token_index")
-    past, here, rest = sequence.rowsBetween(Window.unboundedPreceding, -1), sequence.rowsBetween(Window.unboundedPreceding, 0), sequence.rowsBetween(0, Window.unboundedFollowing)
+    past, here = sequence.rowsBetween(Window.unboundedPreceding, -1), sequence.rowsBetween(Window.unboundedPreceding, 0)
+    # Backwards, since a frame that ends at the last row is computed anew for every row.
+    rest = Window.partitionBy(*KEYS).orderBy(F.desc("token_index")).rowsBetween(Window.unboundedPreceding, 0)
     stop_at = F.when(F.col("_terminal"), F.col("token_index"))
     out = marked.withColumns({
         "n": F.max("token_index").over(Window.partitionBy(*KEYS)),
