@@ -282,14 +282,14 @@ def decode(log_p: np.ndarray, weight: np.ndarray, change: float) -> np.ndarray:
     return out
 
 
-def classify(texts: list[str], model: LanguageModel, change: float = 5.0) -> list[list[tuple[int, int, str, float]]]:
+def classify(texts: list[str], model: LanguageModel, change: float = 5.5) -> list[list[tuple[int, int, str, float]]]:
     """Segments (start, end, language, confidence) of each text, in order."""
     spans = [units_of(t) for t in texts]
     telling = [telling_text(t[a:b]) for t, units in zip(texts, spans, strict=True) for a, b in units]
     worded = np.array([has_words(u) for u in telling], bool)
     letters = np.array([letters_in(u) for u in telling], np.float64)
     log_p = model.log_probabilities(telling) if telling else np.zeros((0, len(model.languages)))
-    weight = np.where(worded, np.minimum(1.0, letters / 20.0), 0.0)
+    weight = np.where(worded, np.minimum(3.0, letters / 20.0), 0.0)
     out, at = [], 0
     for t, units in zip(texts, spans, strict=True):
         n = len(units)
@@ -318,7 +318,7 @@ def classify(texts: list[str], model: LanguageModel, change: float = 5.0) -> lis
     return out
 
 
-def segments(df: DataFrame, key: str, text: str, model: LanguageModel, change: float = 5.0) -> DataFrame:
+def segments(df: DataFrame, key: str, text: str, model: LanguageModel, change: float = 5.5) -> DataFrame:
     """(key, segment_no, segments, start_char, end_char, lang, confidence): every language segment of every text.
 
     Null and blank texts have no row. A text without words is one segment of `zxx`. Narrow: a scan and one Python stage.
