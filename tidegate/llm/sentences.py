@@ -93,6 +93,16 @@ class _Paragraph:
         self.stack: list[tuple[str, int]] = []
         self.line = ""
         self.content = low
+        self.apostrophe = -1
+        self.found: dict[str, int] = {}  # next place of a mark, looked for once
+        self.waiting: dict[str, int] = {}  # how often the stack waits for a mark
+
+    def ahead(self, mark: str, p: int) -> int:
+        """The next place of mark behind p; high if there is none."""
+        if self.found.get(mark, -1) <= p:
+            q = self.t.find(mark, p + 1, self.high)
+            self.found[mark] = q if q >= 0 else self.high
+        return self.found[mark]
 
     def skip(self, i: int) -> int:
         while i < self.high and self.t[i] in _SPACE:
@@ -109,6 +119,7 @@ class _Paragraph:
                 self.units.append((self.start, end))
         self.start = self.resume = start
         self.stack.clear()
+        self.waiting.clear()
         if start < self.high and (nl := self.t.rfind("\n", end, start)) >= 0:
             self.line = ""
             if (j := self.marker(nl + 1, False)) >= 0:
@@ -303,30 +314,40 @@ class _Paragraph:
         if self.stack and c in self.stack[-1][0]:
             self.close(p)
             return
-        if any(c in s for s, _ in self.stack) and c not in "\"'«»“":
+        if self.waiting.get(c, 0) and c not in "\"'«»“":
             while c not in self.stack[-1][0]:
-                self.stack.pop()
+                self.pop()
             self.close(p)
             return
         if c == "'" or c == "’":
             if c == "’" or not self._opens(p):
                 return
-            q = t.find("'", p + 1, self.high)
-            while q > 0 and q + 1 < self.high and t[q + 1].isalnum():
-                q = t.find("'", q + 1, self.high)
-            if q < 0:
+            if self.apostrophe <= p:  # the next one that can close, looked for once
+                q = t.find("'", p + 1, self.high)
+                while q > 0 and q + 1 < self.high and t[q + 1].isalnum():
+                    q = t.find("'", q + 1, self.high)
+                self.apostrophe = q if q > 0 else self.high
+            if self.apostrophe >= self.high:
                 return
         elif c == "»" and not self._opens(p):
             return
-        elif c == '"' and t.count('"', p, self.high) < 2:
+        elif c == '"' and self.ahead('"', p) >= self.high:
             return
         closing = _PAIRS.get(c)
-        if closing is None or not any(t.find(x, p + 1, self.high) >= 0 for x in closing):
+        if closing is None or all(self.ahead(x, p) >= self.high for x in closing):
             return
         self.stack.append((closing, p))
+        for x in closing:
+            self.waiting[x] = self.waiting.get(x, 0) + 1
+
+    def pop(self) -> int:
+        closing, at = self.stack.pop()
+        for x in closing:
+            self.waiting[x] -= 1
+        return at
 
     def close(self, p: int) -> None:
-        _, at = self.stack.pop()
+        at = self.pop()
         if self.stack:
             return
         t, c = self.t, p + 1
