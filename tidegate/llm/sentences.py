@@ -224,7 +224,7 @@ class _Paragraph:
         if self.stack:
             return
         t, c = self.t, b
-        while c < self.high and t[c] in _CLOSERS and not (t[c] in "\"'" and self._opens(c)):
+        while c < self.high and t[c] in _CLOSERS and not (t[c] in "\"'" and (self._opens(c) or c + 1 < self.high and t[c + 1].isalnum() and self.ahead(t[c], c) < self.high)):
             c += 1
         if "»" in t[b:c] and self._opens(t.index("»", b)):
             c = b
@@ -261,8 +261,8 @@ class _Paragraph:
             if _caseless(x) and prev.isalnum() and not _caseless(prev) and not kind and self.t.count(" ", self.start, a) > 2:
                 return True  # a sentence of another script follows without a space
             if not x.isupper() or kind in (1, 2) or prev.isupper() or not (prev.isalnum() or prev in _CLOSERS):
-                return x in "“«¿„" and prev.isalpha() and kind not in (1, 2)
-            if kind == 3 and "." in t[at:a]:
+                return x in "“«¿„\"" and prev.isalpha() and kind not in (1, 2)
+            if kind == 3 and "." in t[at:a] or not kind and t[max(self.start, a - 4) : a].isalpha() and t[max(self.start, a - 4) : a].islower():
                 return True
             return n + 1 >= self.high or t[n + 1].islower() or t[n + 1] in _SPACE or _caseless(x)
         if t[a - 1 : a].isdigit():
