@@ -123,17 +123,14 @@ def pack(items: DataFrame, key: str, size: str, capacities: list[int], rows_per_
     counts = pieces.groupBy("capacity_tokens", F.col("tokens").alias("size")).agg(F.count(F.lit(1)).alias("items"))
     placed = counts.groupBy("capacity_tokens").applyInPandas(_sweep, _PLACED)
     ranked = rank_within(pieces, ["capacity_tokens", "tokens"], [F.col("_key"), F.col("piece_no"), F.col("first_token")], "_rank", rows_per_part, F.xxhash64("_key", "piece_no"), few_groups=True)  # at most `capacity` sizes a capacity
-    # Rank ranges are cut at powers of two blocks so that the lookup is an equi-join with a small residual.
     found = _lookup(ranked, placed)
     return found.unionByName(empty).withColumnRenamed("_key", key)
 
 
 def _lookup(ranked: DataFrame, placed: DataFrame) -> DataFrame:
-    """Join each rank to the range that holds it. A size with many ranges is joined by blocks of ranks, not by all its ranges."""
-    span = 256
+    """Join each rank to the range that holds it, by blocks of 256 ranks: an equi-join with a small residual, however many ranges a size has."""
     blocks = F.explode(F.sequence(F.shiftright("first_rank", 8), F.shiftright(F.col("end_rank") - 1, 8))).alias("_block")
     ranges = placed.select("*", blocks).select(F.col("capacity_tokens").alias("_c"), F.col("size").alias("_s"), F.col("_block").alias("_b"), "first_rank", "end_rank", "first_container", "place")
-    assert span == 1 << 8
     inside = (F.col("capacity_tokens") == F.col("_c")) & (F.col("tokens") == F.col("_s")) & (F.shiftright("_rank", 8) == F.col("_b")) & (F.col("_rank") >= F.col("first_rank")) & (F.col("_rank") < F.col("end_rank"))
     joined = ranked.join(ranges, inside, "inner")
     return joined.select("capacity_tokens", "_key", "piece_no", "tokens", "first_token", (F.col("first_container") + F.col("_rank") - F.col("first_rank")).alias("container"), "place")

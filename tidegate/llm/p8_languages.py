@@ -22,8 +22,6 @@ from tidegate.llm.sentences import sentence_spans
 
 DIM_BITS = 17
 NO_LANGUAGE = "zxx"
-#: Labels that say nothing. Fixed values.
-PLACEHOLDERS = ["", "und", "n/a", "na", "unknown", "xx", "??", "?", "null", "none", "-"]
 _SLICE = 1 << 18
 
 _NOT_LETTER = re.compile(r"[^\p{L}\p{M}\x00]+")

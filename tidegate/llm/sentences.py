@@ -40,7 +40,6 @@ _MARKER = re.compile(r"[ \t\xa0]*(?:(?P<num>\d{1,3})[.)](?=[ \t\xa0]|$)|\[\d{1,3
 _SPEAKER = re.compile(r"(?:[QAFR]|Frage|Antwort|User|Assistant|Human|AI|System|问|答)[:：]")
 _FENCE = re.compile(r"^[ \t]*```", re.M)
 _THAI = re.compile(r"[฀-๿]")
-_LETTER = re.compile(r"\p{L}")
 # Words that carry a sentence on after a quotation or a pause, and verbs of speech.
 _THAI_ON = ("และ", "แต่", "ดังนั้น", "เพราะ", "จึง", "หรือ", "ซึ่ง", "แล้ว", "ฯลฯ", "ๆ")
 _ON = ("然后", "接着", "就", "并", "而", "又", "再", "と", "という", "って", "少し", "そして", "और", "फिर", "แล้ว", "ก่อน")
