@@ -121,3 +121,43 @@ def test_tables(spark):
     df = spark.createDataFrame([("safe", "safe"), ("safe", "unsafe"), (None, "unsafe")], "a string, b string")
     assert {(r.a, r.b): r.rows for r in A.crosstab(df, "a", "b", ["safe", "unsafe"], ["safe", "unsafe"]).collect()} == {("safe", "safe"): 1, ("safe", "unsafe"): 1, ("unsafe", "safe"): 0, ("unsafe", "unsafe"): 0}
     assert {r.value: (r.a, r.b) for r in A.value_counts(df, ["a", "b"]).collect()} == {"safe": (2, 1), "unsafe": (0, 2), None: (1, 0)}
+
+
+def test_counted_statistics(spark):
+    """Mean, median and p90 from counts: the estimates are those of the values, the intervals near those of the exact draws."""
+    rows = [("g", i, float(i * i % 31)) for i in range(401)] + [("h", 0, 3.0), ("h", 1, None), ("none", 0, None)]
+    df = spark.createDataFrame(rows, "g string, i int, v double")
+    got = {(r.g, r.statistic): r for r in B.counted_all(df, ["g"], {"v": ["mean", "median", "p90"]}, resamples=2000).collect()}
+    values = np.array([i * i % 31 for i in range(401)], float)
+    for s, of in (("mean", np.mean), ("median", np.median), ("p90", lambda x: np.percentile(x, 90))):
+        r, exact = got["g", s], B.interval(values, s, resamples=2000)
+        assert r.n == 401 and np.isclose(r.estimate, of(values)) and np.allclose([r.ci_low, r.ci_high], exact, atol=0.5 if s == "mean" else 1.5)
+        assert (got["h", s].estimate, got["h", s].ci_low, got["h", s].ci_high) == (3, 3, 3)
+    assert len(got) == 6
+
+
+def test_streaming_intervals(spark):
+    tr, sq = traces(spark, [(t, "q", "x" * 9, x, 0, 1, 9) for t, x in (("a", "unsafe"), ("b", "unsafe"), ("c", "safe"))]), sequences(spark, [("r", t, "m", None) for t in "abc"])
+    tk = tokens(spark, "SSUSSSSSS", trace="a").unionByName(tokens(spark, "SSSSSSUSS", trace="b")).unionByName(tokens(spark, "SSSSSSSSS", trace="c"))
+    results = R.replay(R.numbered(tk, sq, tr), sq, tr, [R.Rule()], ("token", "full_buffered"))
+    got = {r["mode"]: r for r in M.with_intervals(results, ["model_id"], 500).collect()}
+    r = got["token"]
+    assert (r.leakage_mean, r.leakage_mean_ci_low, r.leakage_mean_ci_high) == (4, 2, 6) and (r.leakage_median_ci_low, r.leakage_p90_ci_high) == (2, 6)
+    assert (r.delay_median_ci_low, r.delay_p90_ci_high) == (2, 6) and r.leakage_words_mean_ci_low == r.leakage_words_mean_ci_high == 1
+    assert got["full_buffered"].leakage_mean_ci_high == 0
+    none = M.with_intervals(results.where("response_truth = 'safe'"), None, 500).first()
+    assert none.traces == 1 and none.leakage_mean_ci_low is None
+
+
+def test_pairs_have_mirrored_intervals(spark):
+    rows = [(m, f"t{i}", x, float(i % 3 + k)) for i in range(30) for m in ("a", "b") for k, x in enumerate(("u", "v"))] + [("a", "t30", "u", 9.0)]
+    pairs = B.paired_models(spark.createDataFrame(rows, "mode string, unit string, model string, y double"), "model", "unit", "y", ["mode"])
+    tests = B.counted_pairs(pairs.withColumn("difference", F.col("difference") + F.col("value_a")), ["mode", "model_a", "model_b"], resamples=500)
+    r = tests.where("mode = 'a'").first()
+    assert (r.pairs, r.mean_a, r.mean_b, r.mean_difference) == (30, 1, 2, 0) and r.ci_low < 0 < r.ci_high and r.p_value > 0.5
+    there, back = (A.antisymmetric(tests, "model_a", "model_b", "mean_difference", ["mode"]).where(f"mode = 'a' and model_a = '{m}'").first() for m in "uv")
+    assert (back.ci_low, back.ci_high) == (-there.ci_high, -there.ci_low)
+    turned = spark.createDataFrame([("token", "x", 1.0, 0.5, 2.0), ("x", "y", 1.0, 0.5, 2.0)], "mode_a string, mode_b string, mean_difference double, ci_low double, ci_high double")
+    assert [tuple(x) for x in A.oriented(turned, "token").select("mode", "mean_difference", "ci_low", "ci_high").collect()] == [("x", -1.0, -2.0, -0.5)]
+    p = spark.createDataFrame([("a", "1", 0.03), ("b", "1", 0.03), ("b", "2", 0.04)], "mode string, pair string, p double")
+    assert {(x["mode"], x.pair): x.significant for x in B.holm(p, "p", ["pair"], keys=["mode"]).collect()} == {("a", "1"): True, ("b", "1"): False, ("b", "2"): False}

@@ -188,6 +188,18 @@ def a6_by_model(s, d):
     return _round(M.streaming_metrics(_results(s, d), ["model_id"]))
 
 
+NEEDED = ["run_id", "trace_id", "model_id", "mode", "rule", "policy", "error", "response_truth", "blocked", "signal_token", "premature_block", "released_tokens", "safe_withheld_tokens", "leakage_tokens", "normalized_leakage", "early_lead_tokens", "signal_offset_tokens", "detection_delay_tokens", "post_signal_buffer_delay_tokens", "checks", "guard_time_ms", "leakage_words", "leakage_characters"]
+
+
+def a6_intervals(s, d):
+    """The metrics with their bootstrap intervals; results are read for both, so they are kept."""
+    return _round(M.with_intervals(checkpointed(_results(s, d).select(*NEEDED))))
+
+
+def a6_intervals_by_model(s, d):
+    return _round(M.with_intervals(checkpointed(_results(s, d).select(*NEEDED)), ["model_id"]))
+
+
 def _mode_means(s, d):
     return B.paired_modes(_results(s, d, with_text=False)).groupBy("policy", "mode_a", "mode_b").agg(F.avg("difference").alias("mean_difference"), F.count(F.lit(1)).alias("pairs"))
 
@@ -196,20 +208,66 @@ def a7_paired_modes(s, d):
     return _round(_mode_means(s, d))
 
 
+def _mode_intervals(s, d):
+    return B.counted_pairs(B.paired_modes(_results(s, d, with_text=False)), ["policy", "mode_a", "mode_b"]).drop("mean_a", "mean_b", "p_value")
+
+
+def a7_intervals(s, d):
+    return _round(_mode_intervals(s, d))
+
+
+def w13_intervals(s, d):
+    return _round(A.oriented(_mode_intervals(s, d), "token"))
+
+
 def w13_oriented(s, d):
     return _round(A.oriented(_mode_means(s, d), "token"))
 
 
-def _policy_values(s, d):
+def _policy_values(s, d, modes=("sentence",)):
     """Leaked tokens of each sequence under four rules, taken as four guards."""
     rules = [R.Rule("strict"), R.Rule("conservative"), R.Rule("strict", "consecutive", 2), R.Rule("strict", "window", 2, 5)]
-    return _results(s, d, rules, ("sentence",), False).withColumn("guard", F.concat(F.lit("rule_"), F.col("rule").cast("string"))).withColumn("unit", F.concat_ws("/", "run_id", "trace_id"))
+    return _results(s, d, rules, modes, False).withColumn("guard", F.concat(F.lit("rule_"), F.col("rule").cast("string"))).withColumn("unit", F.concat_ws("/", "run_id", "trace_id"))
 
 
 def a8_paired_rules(s, d):
     return _round(B.paired_models(_policy_values(s, d), "guard", "unit", "leakage_tokens").groupBy("model_a", "model_b").agg(F.avg("difference").alias("mean_difference"), F.count(F.lit(1)).alias("pairs")))
 
 
+def _model_pairs(s, d):
+    """Leaked tokens of every pair of models on the traces both scored, by mode and policy; a model's value on a trace is the mean over its runs."""
+    r = _results(s, d, with_text=False).where("error is null and leakage_tokens is not null and model_id is not null")
+    values = r.groupBy("mode", "policy", "trace_id", "model_id").agg(F.avg("leakage_tokens").alias("leakage"))
+    return B.paired_models(values, "model_id", "trace_id", "leakage", ["mode", "policy"])
+
+
+def a8_model_intervals(s, d):
+    """Each pair of models on shared traces, in every mode and under every policy. The delivered tables share few traces between models."""
+    return _round(B.counted_pairs(_model_pairs(s, d), ["mode", "policy", "model_a", "model_b"]).drop("p_value"))
+
+
+def _rule_pairs(s, d):
+    return B.paired_models(_policy_values(s, d, R.MODES), "guard", "unit", "leakage_tokens", ["mode"])
+
+
+def a8_rule_intervals(s, d):
+    return _round(B.counted_pairs(_rule_pairs(s, d), ["mode", "model_a", "model_b"]).drop("p_value"))
+
+
+def a9_model_tests(s, d):
+    """Tests of every pair of models on shared traces; Holm over the pairs of a mode and policy."""
+    tests = B.counted_pairs(_model_pairs(s, d), ["mode", "policy", "model_a", "model_b"])
+    return _round(B.holm(tests, "p_value", ["model_a", "model_b"], keys=["mode", "policy"]))
+
+
+def w14_model_matrix(s, d):
+    return _round(A.antisymmetric(B.counted_pairs(_model_pairs(s, d), ["mode", "policy", "model_a", "model_b"]), "model_a", "model_b", "mean_difference", ["mode", "policy"]))
+
+
+def w14_intervals(s, d):
+    return _round(A.antisymmetric(B.counted_pairs(_rule_pairs(s, d), ["mode", "model_a", "model_b"]), "model_a", "model_b", "mean_difference", ["mode"]))
+
+
 def a9_pairwise_tests(s, d):
     tests = B.pairwise_tests(B.paired_models(_policy_values(s, d), "guard", "unit", "leakage_tokens"), "unit", resamples=1000)
     return _round(B.holm(tests, "p_value", ["model_a", "model_b"]))

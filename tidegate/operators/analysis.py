@@ -116,12 +116,22 @@ def timeline(results: DataFrame) -> DataFrame:
     return results.select("run_id", "trace_id", "mode", "policy", F.col("released_tokens").alias("released"), F.greatest(F.lit(0), F.coalesce(stop - F.col("released_tokens"), F.lit(0))).alias("buffered"), F.greatest(F.lit(0), F.col("response_token_count") - F.coalesce(stop, F.col("released_tokens"))).alias("unseen"))
 
 
+def _mirrored(flip: Column | None, columns: list[str], value: str) -> list[Column]:
+    """The value with the other sign, and the bounds of its interval if there are any, which change places; only where flip is true."""
+    turned = {value: -F.col(value)} | ({"ci_low": -F.col("ci_high"), "ci_high": -F.col("ci_low")} if {"ci_low", "ci_high"} <= set(columns) else {})
+    return [(x if flip is None else F.when(flip, x).otherwise(F.col(c))).alias(c) for c, x in turned.items()]
+
+
 def oriented(pairs: DataFrame, reference: str) -> DataFrame:
-    """Paired rows turned so that the reference mode comes second; rows without it are left out."""
+    """Paired rows turned so that the reference mode comes second, with their intervals; rows without it are left out."""
     flip = F.col("mode_a") == reference
-    return pairs.where((F.col("mode_a") == reference) | (F.col("mode_b") == reference)).select(F.when(flip, F.col("mode_b")).otherwise(F.col("mode_a")).alias("mode"), F.lit(reference).alias("reference"), *[c for c in pairs.columns if c not in ("mode_a", "mode_b", "mean_difference")], F.when(flip, -F.col("mean_difference")).otherwise(F.col("mean_difference")).alias("mean_difference"))
+    turned = _mirrored(flip, pairs.columns, "mean_difference")
+    kept = [c for c in pairs.columns if c not in ("mode_a", "mode_b", "mean_difference", "ci_low", "ci_high")]
+    return pairs.where((F.col("mode_a") == reference) | (F.col("mode_b") == reference)).select(F.when(flip, F.col("mode_b")).otherwise(F.col("mode_a")).alias("mode"), F.lit(reference).alias("reference"), *kept, *turned)
 
 
-def antisymmetric(tests: DataFrame, a: str, b: str, value: str) -> DataFrame:
-    """Every pair both ways round, the value with the other sign."""
-    return tests.select(a, b, value).unionByName(tests.select(F.col(b).alias(a), F.col(a).alias(b), (-F.col(value)).alias(value)))
+def antisymmetric(tests: DataFrame, a: str, b: str, value: str, keys: list[str] | None = None) -> DataFrame:
+    """Every pair both ways round, the value with the other sign, its interval mirrored."""
+    turned = _mirrored(None, tests.columns, value)
+    columns = [value, *[c for c in ("ci_low", "ci_high") if len(turned) > 1]]
+    return tests.select(*(keys or []), a, b, *columns).unionByName(tests.select(*(keys or []), F.col(b).alias(a), F.col(a).alias(b), *turned))
