@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import sequences, tokens, traces
+from tidegate import catalog
 from tidegate.functions import text as T
 from tidegate.functions.stats import fisher_exact, wilson
 from tidegate.operators import analysis as A
@@ -161,3 +162,21 @@ def test_pairs_have_mirrored_intervals(spark):
     assert [tuple(x) for x in A.oriented(turned, "token").select("mode", "mean_difference", "ci_low", "ci_high").collect()] == [("x", -1.0, -2.0, -0.5)]
     p = spark.createDataFrame([("a", "1", 0.03), ("b", "1", 0.03), ("b", "2", 0.04)], "mode string, pair string, p double")
     assert {(x["mode"], x.pair): x.significant for x in B.holm(p, "p", ["pair"], keys=["mode"]).collect()} == {("a", "1"): True, ("b", "1"): False, ("b", "2"): False}
+
+
+def test_bootstrap_over_everything(spark):
+    """Every mode, policy and metric has an interval, small groups the reference's draws, large ones those of counts; the catalog asks for all."""
+    rows = [(m, p, i, float(i * i % 31 + k), None if i % 2 else float(i % 5)) for k, m in enumerate(("token", "sentence")) for p in ("strict", "conservative") for i in range(200 if m == "token" else 60)]
+    df = spark.createDataFrame(rows, "mode string, policy string, i int, v double, w double")
+    got = B.bootstrap_all(df, ["mode", "policy"], {"v": ["mean", "p90"], "w": ["median"]}, ["i"], resamples=300, exact=100).collect()
+    assert len(got) == 12 and {(r["mode"], r.drawn) for r in got} == {("token", "counts"), ("sentence", "values")}
+    r = next(x for x in got if (x["mode"], x.policy, x.statistic) == ("sentence", "strict", "p90"))
+    assert np.allclose([r.ci_low, r.ci_high], B.interval(np.array([i * i % 31 + 1 for i in range(60)], float), "p90", resamples=300))
+    assert {r.n for r in got if r.metric == "w"} == {100, 30}
+
+
+def test_catalog_bootstraps_every_mode(spark):
+    d = "/root/testdata/sf0.001"
+    rows = catalog.a5_counted(spark, d).collect()
+    assert {r["mode"] for r in rows} == set(R.MODES) and {r.policy for r in rows} == {"strict", "conservative"}
+    assert {(r.metric, r.statistic) for r in rows} == {(m, s) for m, of in M.INTERVALS.items() for s in of}

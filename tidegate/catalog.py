@@ -163,14 +163,17 @@ def a3_by_mode(s, d):
     return _round(M.response_metrics(_results(s, d, with_text=False), True, ["model_id"]))
 
 
+def _leaking(s, d):
+    """Results of harmful responses under both policies in every mode, kept, since sizes of groups are counted before they are drawn."""
+    return checkpointed(M.harmful(_results(s, d)).select("run_id", "trace_id", "model_id", "mode", "policy", *M.INTERVALS))
+
+
 def a5_bootstrap(s, d):
-    r = _results(s, d, [R.Rule("strict")], ("sentence",), False).where("response_truth = 'unsafe' and error is null")
-    return _round(B.bootstrap_ci(r, ["model_id", "mode"], "leakage_tokens", ["trace_id", "run_id"], "mean", resamples=2000))
+    return _round(B.bootstrap_all(_leaking(s, d), ["model_id", "mode", "policy"], M.INTERVALS, ["trace_id", "run_id"]))
 
 
 def a5_counted(s, d):
-    r = _results(s, d, BASE, ("sentence",), False).where("response_truth = 'unsafe' and error is null")
-    return _round(B.counted(r, ["mode", "policy"], "leakage_tokens"))
+    return _round(B.counted_all(M.harmful(_results(s, d)), ["mode", "policy"], M.INTERVALS))
 
 
 def a5_portable(s, d):
@@ -269,8 +272,9 @@ def w14_intervals(s, d):
 
 
 def a9_pairwise_tests(s, d):
-    tests = B.pairwise_tests(B.paired_models(_policy_values(s, d), "guard", "unit", "leakage_tokens"), "unit", resamples=1000)
-    return _round(B.holm(tests, "p_value", ["model_a", "model_b"]))
+    """Tests of every pair of rules; Holm over the pairs of a mode."""
+    tests = B.counted_pairs(_rule_pairs(s, d), ["mode", "model_a", "model_b"]).drop("mean_a", "mean_b").withColumnRenamed("pairs", "n")
+    return _round(B.holm(tests, "p_value", ["model_a", "model_b"], keys=["mode"]))
 
 
 def a10_holm(s, d):

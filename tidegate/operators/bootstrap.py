@@ -7,6 +7,8 @@ the histogram of a group's values (whole tokens) with multinomial counts, so a t
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -39,7 +41,7 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, order: list[str], s
     return rows.groupBy(*keys).applyInPandas(run, ", ".join([*kinds, "n long, estimate double, ci_low double, ci_high double"]))
 
 
-def counted(df: DataFrame, keys: list[str], value: str, seed: int = 42, resamples: int = 2_000) -> DataFrame:
+def counted(df: DataFrame, keys: list[str], value: str, seed: int = 42, resamples: int = 10_000) -> DataFrame:
     """Bootstrap interval of a mean for groups of any size: counts per distinct value, then multinomial resamples of the counts."""
     kinds = [f"{k} {df.schema[k].dataType.simpleString()}" for k in keys]
 
@@ -99,6 +101,27 @@ def counted_all(df: DataFrame, keys: list[str], metrics: dict[str, list[str]], s
     return histogram.groupBy(*keys, "metric").applyInPandas(run, ", ".join([*kinds, "metric string, statistic string, n long, estimate double, ci_low double, ci_high double"]))
 
 
+def bootstrap_all(df: DataFrame, keys: list[str], metrics: dict[str, list[str]], order: list[str], seed: int = 42, resamples: int = 10_000, exact: int = 5_000) -> DataFrame:
+    """(keys, metric, statistic, n, estimate, ci_low, ci_high, drawn): the exact kernel for groups of at most `exact` rows, by counts for larger ones; drawn says which. A metric of which a group has no value has no row."""
+    sizes = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_size"))
+    sized = df.join(sizes, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])).select(*df.columns, "_size")
+    large = counted_all(sized.where(F.col("_size") > exact), keys, metrics, seed, resamples).withColumn("drawn", F.lit("counts"))
+    kinds = [f"{k} {df.schema[k].dataType.simpleString()}" for k in keys]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([f"_o{i}" for i in range(len(order))])
+        rows = []
+        for m, statistics in metrics.items():
+            v = frame[m].dropna().to_numpy(float)
+            for s in statistics if len(v) else []:
+                est = {"mean": np.mean, "median": np.median, "p90": lambda x: np.percentile(x, 90)}[s](v)
+                rows.append([*frame[keys].iloc[0], m, s, len(v), float(est), *interval(v, s, seed, resamples), "values"])
+        return pd.DataFrame(rows, columns=[*keys, "metric", "statistic", "n", "estimate", "ci_low", "ci_high", "drawn"])
+
+    small = sized.where(F.col("_size") <= exact).select(*keys, *[F.col(m).cast("double").alias(m) for m in metrics], *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)])
+    return small.groupBy(*keys).applyInPandas(run, ", ".join([*kinds, "metric string, statistic string, n long, estimate double, ci_low double, ci_high double, drawn string"])).unionByName(large)
+
+
 def counted_pairs(pairs: DataFrame, keys: list[str], seed: int = 42, resamples: int = 10_000) -> DataFrame:
     """(keys, pairs, mean_a, mean_b, mean_difference, ci_low, ci_high, p_value) of paired values for groups of any size, from counts per distinct difference; p is two-sided."""
     kinds = [f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys]
