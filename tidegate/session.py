@@ -22,6 +22,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as the session runs at once, for costly row-wise work; moved only where a scan gives fewer."""
+    least = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
+
+
 def build_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tidegate") -> SparkSession:
     """A local session for tests and measurements; on a cluster the submitter's settings hold."""
     return (
