@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,13 +24,15 @@ from tidegate.llm.sentences import sentence_spans
 DIM_BITS = 17
 NO_LANGUAGE = "zxx"
 _SLICE = 1 << 18
+_MOST_CODES = 10_000
 
-_NOT_LETTER = re.compile(r"[^\p{L}\p{M}\x00]+")
+_LETTER, _HEAD, _CHARACTER = 1, 2, 4  # classes of code points: letters and their marks, letters, characters that are words
 #: No words: hexadecimal numbers, tags, JSON keys and the like.
 _NOISE = re.compile(r"0x[0-9a-fA-F]+|<(\p{L}+)>[^<\n]{0,40}</\1>|</?\p{L}+>|\"\w\":|https?://\S+|^\s*(?:\d{1,3}[.)]|\[\d+\]|\p{L}{1,9}:(?=\s))", re.M)
 _QUOTED = re.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|»[^«]*«|「[^」]*」|『[^』]*』|\"[^\"]*\"|\([^()]*\)|（[^（）]*）")
 _DENSE = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _WORD = re.compile(r"\p{L}[\p{L}\p{M}]+|[\p{Han}\p{Hiragana}\p{Katakana}]")
+_QUOTES = frozenset('"“„«»「『(（')
 _SCRIPTS = {"Latn": re.compile(r"\p{Latin}"), "Cyrl": re.compile(r"\p{Cyrillic}"), "Hani": re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]"), "Deva": re.compile(r"\p{Devanagari}"), "Thai": re.compile(r"\p{Thai}")}
 
 
@@ -39,7 +42,10 @@ def language_label(label: Column, codes: DataFrame) -> Column:
     codes: code, iso3, name; a short list kept by hand, so it becomes part of the expression.
     """
     known: dict[str, str] = {"mul": "mul"}
-    for r in codes.select("code", "iso3", "name").collect():
+    rows = codes.select("code", "iso3", "name").limit(_MOST_CODES + 1).collect()
+    if len(rows) > _MOST_CODES:
+        raise ValueError(f"more than {_MOST_CODES} language codes")
+    for r in rows:
         for word in (r["code"], r["iso3"], r["name"]):
             if word:
                 known[word.strip().lower()] = r["code"]
@@ -48,44 +54,94 @@ def language_label(label: Column, codes: DataFrame) -> Column:
     return F.coalesce(table[bare], table[F.regexp_extract(bare, r"^([a-z]{2,3})[-_]", 1)])
 
 
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Class bits of every code point."""
+    points = np.arange(0x110000, dtype="<u4")
+    points[0xD800:0xE000] = 32
+    every = points.tobytes().decode("utf-32-le")
+    out = np.zeros(len(every), np.uint8)
+    for bit, pattern in ((_LETTER, r"[\p{L}\p{M}]+"), (_HEAD, r"\p{L}+"), (_CHARACTER, r"[\p{Han}\p{Hiragana}\p{Katakana}]+")):
+        for m in re.finditer(pattern, every):
+            out[m.start() : m.end()] |= bit
+    return out
+
+
 def telling_text(unit: str) -> str:
     """What of a sentence unit tells its language: noise removed, quotations and asides removed if enough stays."""
-    bare = _NOISE.sub(" ", unit)
-    if any(c in bare for c in '"“„«»「『(（'):
-        outside = _QUOTED.sub(" ", bare)
+    if "\n" in unit or "<" in unit or '":' in unit or "0x" in unit or "//" in unit or unit[:1] in "[ \t" or unit[:1].isdecimal() or ":" in unit[:11]:
+        unit = _NOISE.sub(" ", unit)
+    if not _QUOTES.isdisjoint(unit):
+        outside = _QUOTED.sub(" ", unit)
         if letters_in(outside) >= 6:
             return outside
-    return bare
+    return unit
 
 
-def letters_in(text: str) -> int:
-    """Letters of the words of a text; one of a script without alphabet counts as three."""
-    return sum(map(len, _WORD.findall(text))) + 2 * len(_DENSE.findall(text))
+def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts in lower case, each between spaces and behind a 0, and the text each belongs to."""
+    joined = "".join(f"\0 {t.lower()} " for t in texts) if not any("\0" in t for t in texts) else "".join("\0 " + t.lower().replace("\0", " ") + " " for t in texts)
+    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return cp, np.cumsum(cp == 0) - 1
+
 
+def letters_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text: letters of its words (two letters or more; one of a script without alphabet counts as three), and whether it has a word."""
+    if not texts:
+        return np.zeros(0), np.zeros(0, bool)
+    cp, owner = _code_points(texts)
+    kind = _classes()[cp]
+    letter, dense = (kind & _LETTER) > 0, (kind & _CHARACTER) > 0
+    beside = np.zeros(len(cp), bool)
+    beside[1:] = letter[:-1]
+    beside[:-1] |= letter[1:]
+    word = (letter & beside) | dense
+    n = np.bincount(owner[word], minlength=len(texts)) + 2 * np.bincount(owner[dense], minlength=len(texts))
+    return n.astype(np.float64), n > 0
 
-def has_words(text: str) -> bool:
-    return _WORD.search(text) is not None
+
+def letters_in(text: str) -> int:
+    """letters_of one text."""
+    return sum(map(len, _WORD.findall(text))) + 2 * len(_DENSE.findall(text))
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of all texts, and the text each belongs to. Digits and marks count as space; one text may be of any length."""
-    joined = "\x00".join(" " + t.lower().replace("\x00", " ") + " " for t in texts)
-    cp = np.frombuffer(_NOT_LETTER.sub(" ", joined).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    owner = np.cumsum(cp == 0)
+    """Hashed n-grams of all texts, text by text, and the text each belongs to. Digits and marks count as space; one text may be of any length."""
+    cp, owner = _code_points(texts)
+    gap = ((_classes()[cp] & _LETTER) == 0) & (cp != 0)
+    first = np.ones(len(cp), bool)
+    first[1:] = ~(gap[1:] & gap[:-1])  # of neighbouring gaps the first stays, as one space
+    cp = np.where(gap, np.uint32(32), cp)[first].astype(np.uint64)
+    owner = owner[first].astype(np.int32)
     out, own = [], []
     h = np.zeros(len(cp), np.uint64)
-    valid = np.ones(len(cp), bool)
+    inside = np.ones(len(cp), bool)
     for n in (1, 2, 3):
         if len(cp) < n:
             break
-        h = h[: len(cp) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + cp[n - 1 :] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(n)
-        valid = valid[: len(cp) - n + 1] & (cp[n - 1 :] != 0)
-        keep = valid & ((cp[: len(h)] != 32) if n == 1 else True)
+        here = cp[n - 1 :]
+        h = h[: len(here)] * np.uint64(0x9E3779B97F4A7C15) + here * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(n)
+        inside = inside[: len(here)] & (here != 0)
+        keep = inside & (here != 32) if n == 1 else inside
         x = h[keep]
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         out.append((x >> np.uint64(64 - DIM_BITS)).astype(np.int32))
-        own.append(owner[: len(h)][keep].astype(np.int32))
-    return np.concatenate(out), np.concatenate(own)
+        own.append(owner[: len(here)][keep])
+    whose = np.concatenate(own)
+    by_text = np.argsort(whose, kind="stable")  # three ascending runs
+    return np.concatenate(out)[by_text], whose[by_text]
+
+
+def _slices(texts: list[str]) -> Iterator[list[str]]:
+    """A bounded amount of text at a time; a long text is a slice by itself."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) < _SLICE):
+            size += len(texts[end])
+            end += 1
+        yield texts[at:end]
+        at = end
 
 
 @dataclass
@@ -95,23 +151,23 @@ class LanguageModel:
     idf: np.ndarray
     temperature: float
 
+    @cached_property
+    def squares(self) -> np.ndarray:
+        return self.idf.astype(np.float64) ** 2
+
     def log_probabilities(self, texts: list[str]) -> np.ndarray:
         """Calibrated log-probabilities, a row a text."""
         scores = np.zeros((len(texts), len(self.languages)), np.float64)
         norms = np.zeros(len(texts), np.float64)
         at = 0
-        while at < len(texts):  # a bounded amount of text at a time
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) < _SLICE):
-                size += len(texts[end])
-                end += 1
-            codes, own = _codes(texts[at:end])
+        for part in _slices(texts):
+            codes, own = _codes(part)
             for i in range(0, len(codes), _SLICE):
                 c, o = codes[i : i + _SLICE], own[i : i + _SLICE]
                 cuts = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
                 scores[at + o[cuts]] += np.add.reduceat(self.weights[c], cuts, axis=0)
-                norms[at + o[cuts]] += np.add.reduceat(self.idf[c].astype(np.float64) ** 2, cuts)
-            at = end
+                norms[at + o[cuts]] += np.add.reduceat(self.squares[c], cuts)
+            at += len(part)
         logits = (scores / np.sqrt(np.maximum(norms, 1e-12))[:, None]) / self.temperature
         top = logits.max(axis=1, keepdims=True)
         return logits - top - np.log(np.exp(logits - top).sum(axis=1, keepdims=True))
@@ -128,11 +184,12 @@ def train(texts: list[str], labels: list[str], idf: np.ndarray, epochs: int = 2,
     order = np.random.default_rng(seed).permutation(len(texts))
     held = set(order[::5].tolist())
     rows = []
-    for t in texts:
-        codes, _ = _codes([t])
-        ids, n = np.unique(codes, return_counts=True)
-        v = n * idf[ids]
-        rows.append((ids, (v / max(1e-12, np.sqrt((n * idf[ids] ** 2).sum()))).astype(np.float64)))
+    for part in _slices(texts):
+        codes, own = _codes(part)
+        for of_text in np.split(codes, np.searchsorted(own, np.arange(1, len(part)))):
+            ids, n = np.unique(of_text, return_counts=True)
+            v = n * idf[ids]
+            rows.append((ids, (v / max(1e-12, np.sqrt((n * idf[ids] ** 2).sum()))).astype(np.float64)))
     half = np.zeros(len(texts), bool)
     half[order[::2]] = True
     good = np.ones(len(texts), bool)
@@ -149,7 +206,8 @@ def train(texts: list[str], labels: list[str], idf: np.ndarray, epochs: int = 2,
     return model
 
 
-def _ftrl(rows: list, y: np.ndarray, languages: list[str], order: list[int], idf: np.ndarray, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> LanguageModel:
+def _ftrl(rows: list, y: np.ndarray, languages: list[str], order: list[int], idf: np.ndarray, epochs: int, alpha: float, beta: float, l1: float, l2: float, together: int = 16) -> LanguageModel:
+    """FTRL-proximal; `together` rows make one step, by the sum of their gradients."""
     k, dim = len(languages), 1 << DIM_BITS
     z, n = np.zeros((dim, k)), np.zeros((dim, k))
 
@@ -157,20 +215,26 @@ def _ftrl(rows: list, y: np.ndarray, languages: list[str], order: list[int], idf
         w = -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2)
         return np.where(np.abs(zi) > l1, w, 0.0)
 
-    for _ in range(epochs):
-        for i in order:
-            ids, v = rows[i]
-            zi, ni = z[ids], n[ids]
-            w = solved(zi, ni)
-            s = v @ w
-            p = np.exp(s - s.max())
-            p /= p.sum()
-            p[y[i]] -= 1.0
-            g = v[:, None] * p
-            root = np.sqrt(ni)
-            ni += g * g
-            z[ids] = zi + g - (np.sqrt(ni) - root) / alpha * w
-            n[ids] = ni
+    order = [i for i in order if len(rows[i][0])]
+    for at in [*range(0, len(order), together)] * epochs:
+        step = order[at : at + together]
+        sizes = np.array([len(rows[i][0]) for i in step])
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        codes, v = (np.concatenate([rows[i][x] for i in step]) for x in (0, 1))
+        ids, where = np.unique(codes, return_inverse=True)
+        zi, ni = z[ids], n[ids]
+        w = solved(zi, ni)
+        s = np.add.reduceat(v[:, None] * w[where], starts, axis=0)
+        p = np.exp(s - s.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(step)), y[step]] -= 1.0
+        by_code = np.argsort(where, kind="stable")
+        each = (v[:, None] * np.repeat(p, sizes, axis=0))[by_code]
+        g = np.add.reduceat(each, np.searchsorted(where[by_code], np.arange(len(ids))), axis=0)
+        root = np.sqrt(ni)
+        ni += g * g
+        z[ids] = zi + g - (np.sqrt(ni) - root) / alpha * w
+        n[ids] = ni
     w = solved(z, n)
     return LanguageModel(languages, (w * idf[:, None]).astype(np.float32), idf.astype(np.float32), 1.0)
 
@@ -194,20 +258,26 @@ def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
     """In how many texts each hashed n-gram occurs, over all rows, and the number of texts. At most 2^17 counts reach the driver."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << DIM_BITS, np.int64)
+        total, place = np.zeros(1 << DIM_BITS, np.int64), np.zeros(1 << DIM_BITS, np.int64)
         texts = 0
         for batch in batches:
-            for t in batch["_text"]:
-                total[np.unique(_codes([t])[0])] += 1
-                texts += 1
+            rows = batch["_text"].tolist()
+            for part in _slices(rows):
+                codes, own = _codes(part)
+                cuts = [*np.searchsorted(own, np.arange(len(part))).tolist(), len(codes)]
+                numbers = np.arange(len(codes))
+                for a, b in zip(cuts, cuts[1:]):  # each code of a text once: the place that was written last
+                    place[codes[a:b]] = numbers[a:b]
+                    total[codes[a:b][place[codes[a:b]] == numbers[a:b]]] += 1
+                texts += len(part)
         ids = np.flatnonzero(total)
         yield pd.DataFrame({"code": np.append(ids, -1), "n": np.append(total[ids], texts)})
 
-    rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("_text")).mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("_text")).mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << DIM_BITS, np.int64)
-    codes = rows["code"].to_numpy()
-    out[codes[codes >= 0]] = rows["n"].to_numpy()[codes >= 0]
-    return out, int(rows["n"][codes < 0].sum())
+    codes, n = rows.column("code").to_numpy(), rows.column("n").to_numpy()
+    out[codes[codes >= 0]] = n[codes >= 0]
+    return out, int(n[codes < 0].sum())
 
 
 def fit_languages(df: DataFrame, key: str, text: str, label: str, codes: DataFrame, rows_per_language: int = 400, longest: int = 20_000, units_per_language: int = 1600, units_per_text: int = 12, seed: int = 1) -> LanguageModel:
@@ -225,7 +295,7 @@ def fit_languages(df: DataFrame, key: str, text: str, label: str, codes: DataFra
         raise ValueError("no labelled text to learn from")
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, rows_per_language / n))])
     draw = F.pmod(F.xxhash64(F.lit(seed), "_key"), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.where(draw < share[F.col("_lang")]).limit(3 * rows_per_language * len(counts)).toPandas().sort_values(["_lang", "_key"])
+    sample = labelled.where(draw < share[F.col("_lang")]).orderBy(draw, "_key").limit(3 * rows_per_language * len(counts)).toArrow().to_pandas().sort_values(["_lang", "_key"])
     used: dict[str, int] = {}
     units, labels = [], []
     for t, lang in zip(sample["_text"], sample["_lang"], strict=True):
@@ -284,9 +354,9 @@ def classify(texts: list[str], model: LanguageModel, change: float = 5.5) -> lis
     """Segments (start, end, language, confidence) of each text, in order."""
     spans = [units_of(t) for t in texts]
     telling = [telling_text(t[a:b]) for t, units in zip(texts, spans, strict=True) for a, b in units]
-    worded = np.array([has_words(u) for u in telling], bool)
-    letters = np.array([letters_in(u) for u in telling], np.float64)
+    letters, worded = letters_of(telling)
     log_p = model.log_probabilities(telling) if telling else np.zeros((0, len(model.languages)))
+    best = log_p.argmax(axis=1) if telling else np.zeros(0, np.int64)
     weight = np.where(worded, np.minimum(3.0, letters / 20.0), 0.0)
     out, at = [], 0
     for t, units in zip(texts, spans, strict=True):
@@ -299,7 +369,8 @@ def classify(texts: list[str], model: LanguageModel, change: float = 5.5) -> lis
         if not has.any():
             out.append([(units[0][0], units[-1][1], NO_LANGUAGE, 1.0)])
             continue
-        lang = decode(p, w, change)
+        own = best[at - n : at][has]
+        lang = np.full(n, own[0]) if (own == own[0]).all() else decode(p, w, change)  # one best language everywhere is the best path
         for i in range(n - 2, -1, -1):  # a heading without words goes with what it heads
             if w[i] < 0.75 and lang[i] != lang[i + 1] and "\n" in t[units[i][1] : units[i + 1][0]] and not t[units[i][0] : units[i][1]].endswith((".", "!", "?", "…", "。", "！", "？", ">")):
                 lang[i] = lang[i + 1]

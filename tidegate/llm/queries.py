@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegate.llm import p1_pairs, p2_percentiles, p3_sentences, p4_pieces, p5_runs, p6_containers, p7_mix, p8_languages
 from tidegate.llm.tokens import token_count
-from tidegate.session import checkpointed, table
+from tidegate.session import checkpointed, spread, table
 
 LIMIT, OVERLAP = 200, 20
 FRACTIONS = [0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
@@ -136,7 +136,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, p8_languages.LanguageModel]:
-    documents, codes = table(spark, d, "documents"), table(spark, d, "language_code")
+    documents, codes = spread(table(spark, d, "documents").select("doc_id", "text", "lang")), table(spark, d, "language_code")
     return documents, codes, p8_languages.fit_languages(documents, "doc_id", "text", "lang", codes)
 
 
