@@ -100,6 +100,31 @@ def letters_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return n.astype(np.float64), n > 0
 
 
+SCRIPTS = ("Latn", "Cyrl", "Hani", "Kana", "Thai", "Deva")
+
+
+@lru_cache(maxsize=1)
+def _script_numbers() -> np.ndarray:
+    """Of every code point: 1 + the place of its script in SCRIPTS, 0 for others."""
+    points = np.arange(0x110000, dtype="<u4")
+    points[0xD800:0xE000] = 32
+    every = points.tobytes().decode("utf-32-le")
+    out = np.zeros(len(every), np.uint8)
+    for k, name in enumerate(("Latin", "Cyrillic", "Han", "Hiragana", "Thai", "Devanagari")):
+        for m in re.finditer(rf"[\p{{{name}}}{r'\p{Katakana}' if name == 'Hiragana' else ''}]+", every):
+            out[m.start() : m.end()] = k + 1
+    return out & ((_classes() & _HEAD) > 0) * np.uint8(255)
+
+
+def script_letters(texts: list[str]) -> np.ndarray:
+    """Letters of each script of SCRIPTS, a row a text."""
+    if not texts:
+        return np.zeros((0, len(SCRIPTS)), np.int64)
+    cp, owner = _code_points(texts)
+    width = len(SCRIPTS) + 1
+    return np.bincount(owner * width + _script_numbers()[cp], minlength=len(texts) * width).reshape(len(texts), width)[:, 1:]
+
+
 def letters_in(text: str) -> int:
     """letters_of one text."""
     return sum(map(len, _WORD.findall(text))) + 2 * len(_DENSE.findall(text))

@@ -18,9 +18,11 @@ ACCURACY = 0.01
 
 
 def p1_pairs_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every triggered defect of every pair."""
+    """Every triggered defect of every pair. Languages that share a script are told apart by the model of problem 8."""
     pairs = table(spark, d, "synthetic_singstreambench_sample")
-    return p1_pairs.pairs(pairs, "pair_id", "query", "response", "ingested_at").select("pair_id", "defect", "first")
+    _, codes, model = _model(spark, d)
+    scripts = {r["code"]: r["script"] for r in codes.where("script is not null").limit(1000).collect()}
+    return p1_pairs.pairs(pairs, "pair_id", "query", "response", "ingested_at", model, scripts).select("pair_id", "defect", "first")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
