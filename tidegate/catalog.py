@@ -24,9 +24,8 @@ STOPS = [
     R.Rule("strict", "consecutive", 3), R.Rule("strict", "window", 3, 8),
 ]
 SWEPT = [*[R.Rule("strict", "cumulative", k) for k in (1, 2, 4)], R.Rule("strict", "consecutive", 2), *[R.Rule("strict", "cumulative", k, threshold=t) for t in (0.5, 0.7) for k in (1, 2)], R.Rule("strict", "cumulative", 1, threshold=0.6, include_controversial=True)]
-MAX_SENTENCE = 24
+MAX_SENTENCE = 128
 LIMITS = [0, 5, 20, 100]
-SOME = ("chunk_8", "sentence")
 
 
 def _traces(s: SparkSession, d: str) -> DataFrame:
@@ -46,8 +45,7 @@ def _numbered(s: SparkSession, d: str) -> DataFrame:
 
 
 def _results(s: SparkSession, d: str, rules: list[R.Rule] | None = None, modes: tuple[str, ...] = R.MODES, with_text: bool = True) -> DataFrame:
-    numbered = checkpointed(_numbered(s, d))  # read for flags, ends, times and texts: numbered once
-    return R.replay(numbered, _sequences(s, d), _traces(s, d), rules or BASE, modes, MAX_SENTENCE, with_text)
+    return R.replay(_numbered(s, d), _sequences(s, d), _traces(s, d), rules or BASE, modes, MAX_SENTENCE, with_text)
 
 
 def _round(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -84,7 +82,7 @@ def v6_smoke2(s, d):
 
 
 def v9_prompt_decisions(s, d):
-    return _sequences(s, d).where(F.col("prompt_label").isNotNull() & F.col("error").isNull()).select("run_id", "trace_id", "model_id", "prompt_label", "query_ground_truth")
+    return M.evaluated_prompts(_sequences(s, d)).where(F.col("error").isNull()).select("run_id", "trace_id", "model_id", "prompt_label", "query_ground_truth")
 
 
 def v12_relabelled(s, d):
@@ -114,11 +112,11 @@ def r1_checkpoints(s, d):
 
 
 def r5_checkpoint_tokens(s, d):
-    return R.checkpoints(_numbered(s, d), SOME, MAX_SENTENCE).select("run_id", "trace_id", F.col("end").alias("token_index")).distinct()
+    return R.checkpoints(_numbered(s, d), R.MODES, MAX_SENTENCE).select("run_id", "trace_id", F.col("end").alias("token_index")).distinct()
 
 
 def r6_signals(s, d):
-    found = R.signals(_numbered(s, d), STOPS, ("chunk_8", "sentence", "full_buffered"), MAX_SENTENCE)
+    found = R.signals(_numbered(s, d), STOPS, R.MODES, MAX_SENTENCE)
     return found.select("run_id", "trace_id", "mode", "rule", "signal_token", F.col("start").alias("released_tokens"), F.col("end").alias("intervention_token"), F.col("number").alias("checks"))
 
 
@@ -130,21 +128,24 @@ def r10_replay(s, d):
 
 
 def r15_sweep(s, d):
-    return _round(M.sweep(_results(s, d, SWEPT, SOME)))
+    return _round(M.sweep(_results(s, d, SWEPT, R.MODES)))
 
 
 def r16_sweep_default(s, d):
-    swept = M.sweep(_results(s, d, [*SWEPT, R.Rule("conservative")], ("sentence",)))
+    swept = M.sweep(_results(s, d, [*SWEPT, R.Rule("conservative")]))
     default = (F.col("policy") == "strict") & F.col("threshold").isNull() & (F.col("trigger_count") == 1) & (F.col("trigger_mode") == "cumulative")
-    return _round(swept.withColumn("is_default", default).select("rule", "policy", "fp", "fn", "is_default"))
+    return _round(swept.withColumn("is_default", default).select("mode", "rule", "policy", "fp", "fn", "is_default"))
+
+
+WARMUPS = (0, 8, 16, 32, 64)
 
 
 def r18_warmup_grid(s, d):
-    """Block errors of restricted replay for several warm-up lengths."""
+    """Block errors of restricted replay for every mode and warm-up length."""
     numbered, sequences, traces = checkpointed(_numbered(s, d)), _sequences(s, d), _traces(s, d)
     out = None
-    for k in (0, 8, 32):
-        for mode in SOME:
+    for k in WARMUPS:
+        for mode in R.MODES:
             r = R.replay(R.restricted(numbered, mode, MAX_SENTENCE, k), sequences, traces, BASE, (mode,), MAX_SENTENCE, False)
             m = M.response_metrics(r, True).select(F.lit(k).alias("warmup"), "mode", "policy", "tp", "fp", "tn", "fn")
             out = m if out is None else out.unionByName(m)
@@ -152,7 +153,7 @@ def r18_warmup_grid(s, d):
 
 
 def a2_prompt_metrics(s, d):
-    return _round(M.prompt_metrics(_sequences(s, d), ["model_id"]))
+    return _round(M.prompt_metrics(M.evaluated_prompts(_sequences(s, d), True), ["model_id"]))
 
 
 def a3_response_metrics(s, d):
@@ -300,8 +301,8 @@ def a12_streaming_cost(s, d):
 
 
 def a13_prefix_cost(s, d):
-    checks = C.mode_checks(_numbered(s, d), SOME, 60, 12, 4, MAX_SENTENCE)
-    return C.prefix_cost(_results(s, d, BASE, SOME, False), checks, _query_tokens(s, d))
+    checks = C.mode_checks(_numbered(s, d), R.MODES, 60, 12, 4, MAX_SENTENCE)
+    return C.prefix_cost(_results(s, d, BASE, R.MODES, False), checks, _query_tokens(s, d))
 
 
 def a14_cost_summary(s, d):
@@ -370,24 +371,85 @@ def a29_endpoints(s, d):
     return A.first_and_last(_tokens(s, d))
 
 
+def _swept_by_model(s, d):
+    return M.sweep(_results(s, d, SWEPT, with_text=True), ["model_id"])
+
+
 def a30_matched_budget(s, d):
-    swept = M.sweep(_results(s, d, SWEPT, SOME))
-    return _round(M.matched_budget(swept, 10_000, ["mode"]).select("mode", "rule", "fp", "fn", "leakage_words_mean"))
+    """The best rule of each model and mode with no more false blocks than the model that blocks least by the default rule makes in that mode."""
+    swept = _swept_by_model(s, d)
+    budget = swept.where("rule = 0").groupBy("mode").agg(F.min("fp").alias("budget"))
+    return _round(M.matched_budget(swept.join(budget, "mode"), F.col("budget"), ["model_id", "mode"]).select("model_id", "mode", "rule", "fp", "fn", "budget", "leakage_words_mean"))
 
 
 def w2_frontier(s, d):
-    swept = M.sweep(_results(s, d, SWEPT, SOME))
+    swept = M.sweep(_results(s, d, SWEPT, R.MODES))
     return _round(M.frontier(swept, "false_positive_rate", "false_negative_rate", ["mode"]).select("mode", "rule", "false_positive_rate", "false_negative_rate"))
 
 
+def _model_verdicts(s, d):
+    """Whether each model blocks each trace: a model that scored it in several runs blocks it if most of them do."""
+    r = _results(s, d, [R.Rule("strict")], with_text=False).where("error is null and model_id is not null and response_truth is not null")
+    votes = r.groupBy("mode", "trace_id", "response_truth", "model_id").agg(F.count_if("blocked").alias("_yes"), F.count(F.lit(1)).alias("_all"))
+    return votes.select("mode", "trace_id", "response_truth", F.col("model_id").alias("guard"), (2 * F.col("_yes") > F.col("_all")).alias("blocked"), F.lit(None).cast("string").alias("error"))
+
+
 def a31_error_overlap(s, d):
+    """How many models err on the same trace."""
+    return A.error_overlap(_model_verdicts(s, d), ["mode", "trace_id"], ["mode"])
+
+
+def a31_rules_overlap(s, d):
     return A.error_overlap(_policy_values(s, d), ["run_id", "trace_id"])
 
 
 def a32_ensemble(s, d):
+    """False blocks and misses if at least m models must block a trace that several scored."""
+    return A.ensemble(_model_verdicts(s, d), ["mode", "trace_id"], 5, ["mode"])
+
+
+def a32_rules_ensemble(s, d):
     return A.ensemble(_policy_values(s, d), ["run_id", "trace_id"], 4)
 
 
+def a33_blocked_by_truth(s, d):
+    """Share of blocked responses by truth."""
+    r = _results(s, d, with_text=False).where("error is null")
+    return _round(r.groupBy("model_id", "mode", "policy", "response_truth").agg(F.avg(F.col("blocked").cast("double")).alias("blocked_share"), F.count(F.lit(1)).alias("responses")))
+
+
+def r19_restriction_check(s, d):
+    """Replay restricted without warm-up against replay as delivered where a guard was asked at the ends of intervals only: rows that differ, by mode."""
+    numbered, sequences, traces = checkpointed(_numbered(s, d)), _sequences(s, d), _traces(s, d)
+    out = None
+    for mode in ("token", "chunk_8", "chunk_16", "chunk_32", "full_buffered", "sentence"):
+        once = R.restricted(numbered, mode, MAX_SENTENCE)
+        a = R.replay(once, sequences, traces, BASE, (mode,), MAX_SENTENCE, False)
+        b = R.replay(R.restricted(once, mode, MAX_SENTENCE, 0), sequences, traces, BASE, (mode,), MAX_SENTENCE, False)
+        n = a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.lit(mode).alias("mode"), F.count(F.lit(1)).alias("different"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+def j1_effects(s, d):
+    """Block errors of each model, mode and policy beside those of the token mode of the same model and policy."""
+    m = M.response_metrics(_results(s, d, with_text=False), True, ["model_id"]).select("model_id", "mode", "policy", "fp", "fn")
+    token = m.where("mode = 'token'").select("model_id", "policy", F.col("fp").alias("token_fp"), F.col("fn").alias("token_fn"))
+    return m.join(token, ["model_id", "policy"])
+
+
+def j12_common_modes(s, d):
+    """Modes that every run of a model has results in."""
+    r = _results(s, d, with_text=False).where("error is null and model_id is not null")
+    runs = r.groupBy("model_id").agg(F.countDistinct("run_id").alias("runs"))
+    return r.groupBy("model_id", "mode").agg(F.countDistinct("run_id").alias("_n")).join(runs, "model_id").where("_n = runs").select("model_id", "mode", "runs")
+
+
+def w5_sorted(s, d):
+    """Labels counted in the order of traces: the first and last trace of each truth."""
+    return _traces(s, d).where("response_truth is not null").groupBy("response_truth").agg(F.min("trace_id").alias("first_trace"), F.max("trace_id").alias("last_trace"), F.count(F.lit(1)).alias("traces"))
+
+
 def a34_identity(s, d):
     return A.identity(_sequences(s, d), "trace_id", ["run_id"])
 
@@ -402,8 +464,8 @@ def w8_shortest(s, d):
 
 
 def w11_pivot(s, d):
-    m = M.response_metrics(_results(s, d, BASE, SOME, False), True, ["model_id"])
-    return m.groupBy("model_id", "policy").pivot("mode", list(SOME)).agg(F.first("fp")).select("model_id", "policy", *[F.col(x).alias(f"fp_{x}") for x in SOME])
+    m = M.response_metrics(_results(s, d, BASE, R.MODES, False), True, ["model_id"])
+    return m.groupBy("model_id", "policy").pivot("mode", list(R.MODES)).agg(F.first("fp")).select("model_id", "policy", *[F.col(x).alias(f"fp_{x}") for x in R.MODES])
 
 
 def w12_mode_order(s, d):

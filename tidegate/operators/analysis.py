@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions.stats import fisher_exact, ratio
 from tidegate.functions.text import lstrip, word_count
+from tidegate.operators.ranking import rank_within
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -76,19 +77,19 @@ def first_and_last(tokens: DataFrame) -> DataFrame:
     return e.select("run_id", "trace_id", "evaluated", F.col("_a.token_index").alias("first_token"), F.col("_a.label").alias("first_label"), F.col("_b.token_index").alias("last_token"), F.col("_b.label").alias("last_label"))
 
 
-def error_overlap(results: DataFrame, unit: list[str]) -> DataFrame:
-    """How many rules err on the same sequence, by truth."""
+def error_overlap(results: DataFrame, unit: list[str], keys: list[str] | None = None) -> DataFrame:
+    """How many rules (or guards) err on the same unit, by truth and keys, which are part of the unit."""
     wrong = F.col("blocked") != (F.col("response_truth") == "unsafe")
     per = results.where(F.col("error").isNull() & F.col("response_truth").isNotNull()).groupBy(*unit, "response_truth").agg(F.count_if(wrong).alias("wrong"), F.count(F.lit(1)).alias("rules"))
-    return per.groupBy("response_truth", "rules", "wrong").agg(F.count(F.lit(1)).alias("sequences"))
+    return per.groupBy(*(keys or []), "response_truth", "rules", "wrong").agg(F.count(F.lit(1)).alias("sequences"))
 
 
-def ensemble(results: DataFrame, unit: list[str], most: int) -> DataFrame:
+def ensemble(results: DataFrame, unit: list[str], most: int, keys: list[str] | None = None) -> DataFrame:
     """False blocks and misses if at least m of the rules must block, for m = 1..most."""
     votes = results.where(F.col("error").isNull()).groupBy(*unit, "response_truth").agg(F.count_if("blocked").alias("_votes"))
     asked = votes.select("*", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("votes_needed"))
     blocked = F.col("_votes") >= F.col("votes_needed")
-    return asked.groupBy("votes_needed").agg(F.count_if(blocked & (F.col("response_truth") == "safe")).alias("fp"), F.count_if(~blocked & (F.col("response_truth") == "unsafe")).alias("fn"))
+    return asked.groupBy(*(keys or []), "votes_needed").agg(F.count_if(blocked & (F.col("response_truth") == "safe")).alias("fp"), F.count_if(~blocked & (F.col("response_truth") == "unsafe")).alias("fn"))
 
 
 def identity(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
@@ -101,9 +102,14 @@ def exemplars(results: DataFrame, keys: list[str]) -> DataFrame:
     ids = ["run_id", "trace_id"]
     rows = results.where(F.col("error").isNull())
     late = rows.where("detection_delay_tokens > 0")
+    # The median's delay from counts per delay, then its place among the ids of that delay alone.
+    counts = late.groupBy(*keys, "detection_delay_tokens").agg(F.count(F.lit(1)).alias("_here"))
     group = Window.partitionBy(*keys)
-    mid = late.withColumn("_n", F.row_number().over(group.orderBy("detection_delay_tokens", *ids))).withColumn("_c", F.count(F.lit(1)).over(group)).where(F.col("_n") == F.floor(F.col("_c") / 2) + 1)
-    out = mid.select(*keys, F.lit("median_late").alias("kind"), *ids)
+    upto = F.sum("_here").over(group.orderBy("detection_delay_tokens").rowsBetween(Window.unboundedPreceding, 0))
+    middle = counts.withColumn("_upto", upto).withColumn("_half", F.floor(F.sum("_here").over(group) / 2)).where((F.col("_upto") > F.col("_half")) & (F.col("_upto") - F.col("_here") <= F.col("_half")))
+    wanted = middle.select(*keys, "detection_delay_tokens", (F.col("_half") - (F.col("_upto") - F.col("_here"))).alias("_place"))
+    ranked = rank_within(late.join(F.broadcast(wanted), [*keys, "detection_delay_tokens"]).select(*keys, *ids, "_place"), keys, [F.col(i) for i in ids], "_rank", salt=F.lit(0))
+    out = ranked.where("_rank = _place").select(*keys, F.lit("median_late").alias("kind"), *ids)
     earliest = rows.where("early_lead_tokens > 0").groupBy(*keys).agg(F.min(F.struct((-F.col("early_lead_tokens")).alias("_l"), *ids)).alias("_r")).select(*keys, F.lit("earliest").alias("kind"), "_r.run_id", "_r.trace_id")
     firsts = rows.withColumn("kind", F.when((F.col("response_truth") == "unsafe") & ~F.col("blocked"), "miss").when((F.col("response_truth") == "safe") & F.col("blocked"), "false_block")).where("kind is not null")
     picked = firsts.groupBy(*keys, "kind").agg(F.min(F.struct(*ids)).alias("_r")).select(*keys, "kind", "_r.run_id", "_r.trace_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.operators.replay import KEYS, interval
+from tidegate.operators.replay import KEYS, intervals
 
 #: Floating point operations per parameter and token. Fixed value.
 FLOPS = 2
@@ -38,8 +38,7 @@ def prefix_cost(results: DataFrame, checks: DataFrame, query_check_tokens: DataF
 
 def mode_checks(numbered: DataFrame, modes: tuple[str, ...], head: int, tail: int, generated: int, max_sentence: int = 128) -> DataFrame:
     """The checks each mode makes at delivered tokens: evaluated tokens at the end of an interval; the head is a fixed part plus the prefix."""
-    parts = F.array(*[F.struct(F.lit(m).alias("mode"), interval(m, F.col("token_index"), F.col("n"), max_sentence)[1].cast("int").alias("_end")) for m in modes])
-    at = numbered.where("evaluated").select(*KEYS, "token_index", F.inline(parts)).where("_end = token_index")
+    at = numbered.where("evaluated").select(*KEYS, "token_index", F.inline(intervals(modes, max_sentence))).where("end = token_index")
     return at.select(*KEYS, "mode", "token_index", (F.lit(head) + F.col("token_index")).cast("long").alias("head_tokens"), F.lit(tail).cast("long").alias("tail_tokens"), F.lit(generated).cast("long").alias("generated_tokens"))
 
 

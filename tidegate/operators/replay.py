@@ -4,13 +4,16 @@ A rule can fire for the first time only on a flagged token, so the plan numbers
 flagged ones, and reads every rule off ranks: k flags in all are row number k; k in a row are row number k inside an
 island of neighbouring indexes; k within W tokens are a distance to the flag k - 1 before; k inside a buffer are row
 number k in its interval. All k come from one pass. The interval of a token is arithmetic, for sentences too: the last
-stop before it and the next one at or behind it, with cuts every max_sentence tokens.
+stop before it and the next one at or behind it, with cuts every max_sentence tokens. What a stop shows and costs (the
+text at the start of an interval, the time at its end) is carried to the token by windows, so nothing is looked up in
+the tokens again: tokens move once, by (run_id, trace_id), and everything up to the result is one stage behind that.
 
 Windows are per (run_id, trace_id), that is, one response: what a task holds is bounded by the length of a response.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,10 +52,10 @@ class Rule:
         return self.policy, self.threshold, self.include_controversial
 
 
-def stop_positions(traces: DataFrame) -> DataFrame:
-    """(trace_id, stop_character): every length of a response's prefix that ends, white space apart, in a sentence stop.
+def stop_spans(traces: DataFrame) -> DataFrame:
+    """(trace_id, first, last): the prefixes of a response with length first..last end, white space apart, in a sentence stop.
 
-    Each match of stops, closing marks and the white space behind gives the prefix lengths from its first stop on.
+    One row for each match of stops, closing marks and the white space behind.
     """
     found = F.regexp_extract_all("response", F.lit(rf"[^{STOPS}]*[{STOPS}]+[{CLOSERS}]*[{SPACE}]*"), F.lit(0))
     pieces = traces.select("trace_id", F.posexplode(found).alias("_no", "_piece"))
@@ -60,58 +63,75 @@ def stop_positions(traces: DataFrame) -> DataFrame:
     before = Window.partitionBy("trace_id").orderBy("_no").rowsBetween(Window.unboundedPreceding, 0)
     body = F.length(F.regexp_replace("_piece", rf"[{STOPS}]+[{CLOSERS}]*[{SPACE}]*\z", ""))
     ends = pieces.select("trace_id", body.alias("_body"), F.length("_piece").alias("_len"), F.sum(F.length("_piece")).over(before).alias("_end"))
-    return ends.select("trace_id", F.explode(F.sequence((F.col("_end") - F.col("_len") + F.col("_body") + 1).cast("int"), F.col("_end").cast("int"))).alias("stop_character"))
+    return ends.select("trace_id", (F.col("_end") - F.col("_len") + F.col("_body") + 1).cast("int").alias("first"), F.col("_end").cast("int").alias("last"))
 
 
 def numbered(tokens: DataFrame, sequences: DataFrame, traces: DataFrame, max_sentence: int = 128) -> DataFrame:
-    """Tokens with what intervals need: n, previous and next stop, intervals before the stop, running latency, next index.
+    """Tokens with what intervals need: n, previous and next stop, intervals before the stop, running latency, neighbouring indexes, text before and up to the token.
 
-    tokens: unique decisions, placed by (run_id, trace_id). A response's stops are joined to its sequences as a short
-    list and tested in passing, so texts never meet tokens and tokens don't move again.
+    tokens: unique decisions, placed by (run_id, trace_id). The stops of a response go into the stream of its tokens as
+    rows, ordered by character, so a token only has to know the last stop before its end; texts never meet tokens, and
+    tokens don't move again. A null end_character is no stop.
     """
     if max_sentence < 1:
         raise ValueError("max_sentence must be at least 1")
-    lists = stop_positions(traces).groupBy("trace_id").agg(F.collect_list("stop_character").alias("_stops"))
-    stops = sequences.select(*KEYS).join(lists, "trace_id").select(*KEYS, "_stops")
-    marked = tokens.join(stops, KEYS, "left").withColumn("_terminal", F.coalesce(F.array_contains("_stops", F.col("end_character")), F.lit(False))).drop("_stops")
+    stops = sequences.select(*KEYS).join(stop_spans(traces), "trace_id").select(*KEYS, F.col("first").alias("_at"), F.col("last").alias("_to")).repartition(*KEYS)
+    both = tokens.withColumn("_at", F.col("end_character")).unionByName(stops, allowMissingColumns=True)
+    place = Window.partitionBy(*KEYS).orderBy("_at", F.col("token_index").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_reach", F.max("_to").over(place)).where("token_index is not null")
+    marked = seen.withColumn("_terminal", F.coalesce(F.col("_reach") >= F.col("end_character"), F.lit(False))).drop("_at", "_to", "_reach")
     sequence = Window.partitionBy(*KEYS).orderBy("token_index")
     past, here = sequence.rowsBetween(Window.unboundedPreceding, -1), sequence.rowsBetween(Window.unboundedPreceding, 0)
-    # Backwards, since a frame that ends at the last row is computed anew for every row.
-    rest = Window.partitionBy(*KEYS).orderBy(F.desc("token_index")).rowsBetween(Window.unboundedPreceding, 0)
     stop_at = F.when(F.col("_terminal"), F.col("token_index"))
     out = marked.withColumns({
-        "n": F.max("token_index").over(Window.partitionBy(*KEYS)),
         "prev_stop": F.coalesce(F.max(stop_at).over(past), F.lit(0)),
-        "next_stop": F.min(stop_at).over(rest),
         "latency_sum": F.sum(F.coalesce("latency_ms", F.lit(0.0))).over(here),
+        "prev_index": F.coalesce(F.lag("token_index").over(sequence), F.lit(0)),
         "next_index": F.lead("token_index").over(sequence),
+        "chars_before": F.coalesce(F.max("end_character").over(past), F.lit(0)),
+        "chars": F.coalesce(F.max("end_character").over(here), F.lit(0)),
     })
     length = F.col("token_index") - F.col("prev_stop")
     closed = F.when(F.col("_terminal"), F.ceil(length / max_sentence)).otherwise(0)
-    return out.withColumn("cuts_before", F.coalesce(F.sum(closed).over(past), F.lit(0)).cast("int")).drop("_terminal")
+    counted = out.withColumn("cuts_before", F.coalesce(F.sum(closed).over(past), F.lit(0)).cast("int"))
+    # Backwards, since a frame that ends at the last row is computed anew for every row.
+    rest = Window.partitionBy(*KEYS).orderBy(F.desc("token_index")).rowsBetween(Window.unboundedPreceding, 0)
+    return counted.withColumns({"n": F.max("token_index").over(rest), "next_stop": F.min(stop_at).over(rest)}).drop("_terminal")
 
 
-def interval(mode: str, i: Column, n: Column, max_sentence: int = 128) -> tuple[Column, Column, Column]:
-    """(start, end, number) of the release interval that holds token i."""
+def interval_sql(mode: str, max_sentence: int = 128, of: str = "") -> tuple[str, str, str]:
+    """(start, end, number) of the release interval that holds a token, as expressions over its columns or, with of = "t.", over fields of t."""
+    i, n, stop = f"{of}token_index", f"{of}n", f"{of}prev_stop"
     if mode == "token":
-        return i - 1, i, i
+        return f"{i} - 1", i, i
     if mode == "full_buffered":
-        return F.lit(0), n, F.lit(1)
+        return "0", n, "1"
     if mode in CHUNKS:
         size = CHUNKS[mode]
-        number = F.ceil(i / size).cast("int")
-        return (number - 1) * size, F.least(number * size, n), number
+        number = f"(({i} + {size - 1}) div {size})"
+        return f"({number} - 1) * {size}", f"least({number} * {size}, {n})", number
     if mode != "sentence":
         raise ValueError(f"unknown mode {mode}")
-    cut = F.floor((i - 1 - F.col("prev_stop")) / max_sentence).cast("int")
-    start = F.col("prev_stop") + cut * max_sentence
-    return start, F.least(start + max_sentence, F.coalesce("next_stop", n), n), F.col("cuts_before") + cut + 1
+    cut = f"(({i} - 1 - {stop}) div {max_sentence})"
+    start = f"({stop} + {cut} * {max_sentence})"
+    return start, f"least({start} + {max_sentence}, coalesce({of}next_stop, {n}), {n})", f"{of}cuts_before + {cut} + 1"
+
+
+def interval(mode: str, max_sentence: int = 128) -> tuple[Column, Column, Column]:
+    """interval_sql as whole-number columns of a numbered token."""
+    start, end, number = (F.expr(f"int({x})") for x in interval_sql(mode, max_sentence))
+    return start, end, number
+
+
+def intervals(modes: tuple[str, ...], max_sentence: int) -> Column:
+    """An array of (mode, start, end, number), one for each mode."""
+    parts = ["named_struct('mode', '{}', 'start', int({}), 'end', int({}), 'number', int({}))".format(m, *interval_sql(m, max_sentence)) for m in modes]
+    return F.expr(f"array({', '.join(parts)})")
 
 
 def checkpoints(numbered_: DataFrame, modes: tuple[str, ...] = MODES, max_sentence: int = 128) -> DataFrame:
     """(run_id, trace_id, mode, start, end, number): the release intervals of every sequence that hold a delivered token."""
-    parts = F.array(*[F.struct(F.lit(m).alias("mode"), *[c.cast("int").alias(k) for c, k in zip(interval(m, F.col("token_index"), F.col("n"), max_sentence), ("start", "end", "number"), strict=True)]) for m in modes])
-    return numbered_.select(*KEYS, F.inline(parts)).distinct()
+    return numbered_.select(*KEYS, F.inline(intervals(modes, max_sentence))).distinct()
 
 
 def relabelled(tokens: DataFrame, threshold: float, include_controversial: bool = False) -> DataFrame:
@@ -126,7 +146,7 @@ def _by_score(threshold: float, include_controversial: bool, label: Column) -> C
 
 def restricted(numbered_: DataFrame, mode: str, max_sentence: int = 128, warmup: int = 0) -> DataFrame:
     """What a guard that is asked only at the ends of a mode's intervals would have said: tokens elsewhere, or up to warmup, become safe at no cost."""
-    _, end, _ = interval(mode, F.col("token_index"), F.col("n"), max_sentence)
+    end = interval(mode, max_sentence)[1]
     asked = (end == F.col("token_index")) & (F.col("token_index") > warmup)
     sequence = Window.partitionBy(*KEYS).orderBy("token_index").rowsBetween(Window.unboundedPreceding, 0)
     out = numbered_.withColumns({"label": F.when(asked, F.col("label")).otherwise("safe"), "latency_ms": F.when(asked, F.col("latency_ms")).otherwise(0.0), "evaluated": F.when(asked, F.col("evaluated")).otherwise(True)})
@@ -139,88 +159,111 @@ def warmed_up(tokens: DataFrame, warmup: int) -> DataFrame:
     return tokens.withColumns({"label": F.when(early, "safe").otherwise(F.col("label")), "latency_ms": F.when(early, 0.0).otherwise(F.col("latency_ms"))})
 
 
-def signals(numbered_: DataFrame, rules: list[Rule], modes: tuple[str, ...] = MODES, max_sentence: int = 128) -> DataFrame:
-    """(run_id, trace_id, mode, rule, signal_token, start, end, number): where each rule fires first. Sequences where it doesn't have no row.
+def _carried(numbered_: DataFrame, modes: tuple[str, ...], max_sentence: int) -> DataFrame:
+    """Per mode of several tokens an interval: ms_<mode>, running latency at the end of the token's interval, and chars_<mode>, text before its start."""
+    many = [m for m in modes if m in CHUNKS or m == "sentence"]
+    rest = Window.partitionBy(*KEYS).orderBy(F.desc("token_index")).rowsBetween(Window.unboundedPreceding, 0)
+    here = Window.partitionBy(*KEYS).orderBy("token_index").rowsBetween(Window.unboundedPreceding, 0)
+    ends, starts = {}, {}
+    for m in many:
+        start, end, _ = interval_sql(m, max_sentence)
+        # Backwards the marks fall, forwards they rise, so the extreme is the nearest one.
+        ends[f"ms_{m}"] = F.min(F.expr(f"CASE WHEN next_index IS NULL OR next_index > {end} THEN latency_sum END")).over(rest)
+        starts[f"chars_{m}"] = F.max(F.expr(f"CASE WHEN prev_index <= {start} THEN chars_before END")).over(here)
+    return numbered_.withColumns(ends).withColumns(starts) if many else numbered_
+
 
-    One shuffle-free pass: windows follow the partitioning by (run_id, trace_id). rule is the place in the list.
+def _slot(rules: list[Rule], modes: tuple[str, ...], at: int, mode: str) -> int:
+    """Where _fired keeps a rule's token: buffer rules fire by mode, others at one token whatever the mode."""
+    return at * len(modes) + (modes.index(mode) if rules[at].trigger_mode == "buffer" else 0)
+
+
+def _fired(numbered_: DataFrame, rules: list[Rule], modes: tuple[str, ...], max_sentence: int, carried: bool) -> DataFrame:
+    """(run_id, trace_id, slots): one row per sequence, a map from _slot to the token a rule fires first on, and from -1 to the last token.
+
+    Windows and aggregations follow the placement by (run_id, trace_id): nothing moves.
     """
+    kept = ["token_index", "n", "prev_stop", "next_stop", "cuts_before"]
+    rows = numbered_
+    if carried:
+        rows = _carried(numbered_, modes, max_sentence)
+        kept += ["latency_sum", "chars_before", "chars", *[f"{x}_{m}" for m in modes if m in CHUNKS or m == "sentence" for x in ("ms", "chars")]]
     flags = list(dict.fromkeys(r.flags for r in rules))
     structs = []
     for k, (policy, threshold, include) in enumerate(flags):
         label = F.col("label") if threshold is None else _by_score(threshold, include, F.col("label"))
         structs.append(F.when(F.col("evaluated") & label.isin(*POLICIES[policy]), F.lit(k)))
-    sets = F.explode(F.filter(F.array(*structs), lambda x: x.isNotNull())).alias("_set")
-    flagged = numbered_.select(*KEYS, "token_index", "n", "prev_stop", "next_stop", "cuts_before", sets)
+    last = F.when(F.col("token_index") == F.col("n"), F.lit(-1))
+    sets = F.explode(F.filter(F.array(*structs, last), lambda x: x.isNotNull())).alias("_set")
     one = Window.partitionBy(*KEYS, "_set").orderBy("token_index")
-    ranked = flagged.withColumn("_k", F.row_number().over(one)).withColumn("_island", F.col("token_index") - F.col("_k"))
+    lags = {f"_lag{k}": F.lag("token_index", k - 1).over(one) if k > 1 else F.col("token_index") for k in sorted({r.trigger_count for r in rules if r.trigger_mode == "window"})}
+    ranked = rows.select(*KEYS, *kept, sets).withColumns({"_k": F.row_number().over(one)} | lags)
     if any(r.trigger_mode == "consecutive" for r in rules):
+        ranked = ranked.withColumn("_island", F.col("token_index") - F.col("_k"))
         ranked = ranked.withColumn("_run", F.row_number().over(Window.partitionBy(*KEYS, "_set", "_island").orderBy("token_index")))
-    for k in sorted({r.trigger_count for r in rules if r.trigger_mode == "window"}):
-        ranked = ranked.withColumn(f"_lag{k}", F.lag("token_index", k - 1).over(one) if k > 1 else F.col("token_index"))
-    parts = F.array(*[F.struct(F.lit(m).alias("mode"), *[c.cast("int").alias(x) for c, x in zip(interval(m, F.col("token_index"), F.col("n"), max_sentence), ("start", "end", "number"), strict=True)]) for m in modes])
-    placed = ranked.select("*", F.inline(parts))
     if any(r.trigger_mode == "buffer" for r in rules):
-        placed = placed.withColumn("_in", F.row_number().over(Window.partitionBy(*KEYS, "_set", "mode", "number").orderBy("token_index")))
-    fired = []
+        for m in modes:
+            ranked = ranked.withColumn("_number", interval(m, max_sentence)[2])
+            ranked = ranked.withColumn(f"_in_{m}", F.row_number().over(Window.partitionBy(*KEYS, "_set", "_number").orderBy("token_index"))).drop("_number")
+    hits = ["CASE WHEN _set = -1 THEN -1 END"]
     for at, r in enumerate(rules):
-        hit = {"cumulative": lambda r: F.col("_k") == r.trigger_count, "consecutive": lambda r: F.col("_run") == r.trigger_count, "buffer": lambda r: F.col("_in") == r.trigger_count, "window": lambda r: F.col("token_index") - F.col(f"_lag{r.trigger_count}") < r.trigger_window}[r.trigger_mode](r)
-        fired.append(F.when((F.col("_set") == flags.index(r.flags)) & hit, F.lit(at)))
-    which = F.explode(F.filter(F.array(*fired), lambda x: x.isNotNull())).alias("rule")
-    first = F.min(F.struct(F.col("token_index").alias("signal_token"), "start", "end", "number")).alias("_s")
-    return placed.select(*KEYS, "mode", "token_index", "start", "end", "number", which).groupBy(*KEYS, "mode", "rule").agg(first).select(*KEYS, "mode", "rule", "_s.*")
+        for m in modes if r.trigger_mode == "buffer" else modes[:1]:
+            hit = {"cumulative": f"_k = {r.trigger_count}", "consecutive": f"_run = {r.trigger_count}", "buffer": f"_in_{m} = {r.trigger_count}", "window": f"token_index - _lag{r.trigger_count} < {r.trigger_window}"}[r.trigger_mode]
+            hits.append(f"CASE WHEN _set = {flags.index(r.flags)} AND {hit} THEN {_slot(rules, modes, at, m)} END")
+    fired = ranked.select(*KEYS, *kept, F.expr(f"explode(filter(array({', '.join(hits)}), x -> x IS NOT NULL)) AS slot"))
+    first = fired.groupBy(*KEYS, "slot").agg(F.min(F.struct(*kept)).alias("token"))
+    return first.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("slot", "token"))).alias("slots"))  # as many as rules and modes
 
 
-def _ends(numbered_: DataFrame, max_sentence: int) -> DataFrame:
-    """Per sequence: tokens and sentence intervals."""
-    last = F.col("token_index") == F.col("n")
-    _, _, number = interval("sentence", F.col("token_index"), F.col("n"), max_sentence)
-    return numbered_.where(last).select(*KEYS, "n", number.cast("int").alias("_sentences"))
+def _grid(spark: SparkSession, rules: list[Rule], modes: tuple[str, ...]) -> DataFrame:
+    """Modes x rules, a list of the caller."""
+    rows = [(m, k, _slot(rules, modes, k, m), r.policy, r.trigger_mode, r.trigger_count, r.trigger_window, r.threshold) for m in modes for k, r in enumerate(rules)]
+    return F.broadcast(spark.createDataFrame(rows, "mode string, rule int, _slot int, policy string, trigger_mode string, trigger_count int, trigger_window int, threshold double"))
+
+
+def _by_mode(modes: tuple[str, ...], value: Callable[[str], str]) -> Column:
+    return F.expr("CASE mode " + " ".join(f"WHEN '{m}' THEN {value(m)}" for m in modes) + " END")
+
+
+def signals(numbered_: DataFrame, rules: list[Rule], modes: tuple[str, ...] = MODES, max_sentence: int = 128) -> DataFrame:
+    """(run_id, trace_id, mode, rule, signal_token, start, end, number): where each rule fires first. Sequences where it doesn't have no row. rule is the place in the list."""
+    fired = _fired(numbered_, rules, modes, max_sentence, False).crossJoin(_grid(numbered_.sparkSession, rules, modes))
+    placed = fired.select(*KEYS, "mode", "rule", F.expr("try_element_at(slots, _slot) AS t")).where("t is not null")
+    bounds = [_by_mode(modes, lambda m, k=k: interval_sql(m, max_sentence, "t.")[k]).cast("int").alias(name) for k, name in enumerate(("start", "end", "number"))]
+    return placed.select(*KEYS, "mode", "rule", F.col("t.token_index").alias("signal_token"), *bounds)
 
 
 def replay(numbered_: DataFrame, sequences: DataFrame, traces: DataFrame, rules: list[Rule], modes: tuple[str, ...] = MODES, max_sentence: int = 128, with_text: bool = True) -> DataFrame:
     """One row per sequence, mode and rule with everything measured. Sequences with an error give rows of that error and nothing released.
 
     Sequences without tokens (empty responses) are kept: nothing released, nothing checked. A lost index counts as a
-    token that was not flagged and took no time.
+    token that was not flagged and took no time. Tokens are read once; texts are joined to sequences, not to tokens.
     """
-    spark = numbered_.sparkSession
-    dims = _dimensions(spark, rules, modes)
-    found = signals(numbered_, rules, modes, max_sentence)
-    truth = traces.select("trace_id", "response_truth", "unsafe_start_character", "unsafe_start_token", "response_token_count")
-    base = sequences.select(*KEYS, "model_id", "error").join(truth, "trace_id").join(_ends(numbered_, max_sentence), KEYS, "left")
-    grid = base.crossJoin(F.broadcast(dims))  # modes x rules, a list of the caller
-    n = F.coalesce("n", F.lit(0))
-    size = F.coalesce(*[F.when(F.col("mode") == m, F.ceil(n / s)) for m, s in CHUNKS.items()], F.when(F.col("mode") == "token", n), F.when(F.col("mode") == "full_buffered", F.least(n, F.lit(1))), F.coalesce("_sentences", F.lit(0))).cast("int")
-    joined = grid.join(found, [*KEYS, "mode", "rule"], "left")
-    ok = F.col("error").isNull()
-    signal = F.when(ok, F.col("signal_token"))
-    stop = F.when(ok, F.col("end"))
-    placed = joined.withColumns({
-        "blocked": signal.isNotNull(), "signal_token": signal, "intervention_token": stop,
-        "released_tokens": F.when(~ok, 0).otherwise(F.coalesce(F.col("start"), n)), "checks": F.when(~ok, 0).otherwise(F.coalesce(F.col("number"), size)),
-        "_upto": F.when(ok, F.coalesce(F.when(stop > 0, stop), n)).otherwise(0),
-    })
-    dense = numbered_.select(*KEYS, F.explode(F.sequence("token_index", F.coalesce(F.col("next_index") - 1, F.col("token_index")))).alias("_i"), F.col("end_character").alias("_char"), F.col("latency_sum").alias("_ms"))
-    timed = placed.join(dense.select(*KEYS, F.col("_i").alias("_upto"), "_ms"), [*KEYS, "_upto"], "left")
+    truth = traces.select("trace_id", "response_truth", "unsafe_start_character", "unsafe_start_token", "response_token_count", *(["response"] if with_text else []))
+    base = sequences.select(*KEYS, "model_id", "error").join(truth, "trace_id").join(_fired(numbered_, rules, modes, max_sentence, True), KEYS, "left")
+    kept = [*KEYS, "model_id", "error", *[c for c in truth.columns if c != "trace_id"], "mode", "rule", "policy", "trigger_mode", "trigger_count", "trigger_window", "threshold"]
+    grid = base.crossJoin(_grid(numbered_.sparkSession, rules, modes)).select(*kept, F.expr("CASE WHEN error IS NULL THEN try_element_at(slots, _slot) END AS t"), F.expr("CASE WHEN error IS NULL THEN try_element_at(slots, -1) END AS l"))
+    at = lambda k: lambda m: interval_sql(m, max_sentence, "t.")[k]
+    sizes = {"token": "l.n", "full_buffered": "least(coalesce(l.n, 0), 1)", "sentence": interval_sql("sentence", max_sentence, "l.")[2]} | {m: f"(l.n + {k - 1}) div {k}" for m, k in CHUNKS.items()}
+    ms = {"token": "t.latency_sum", "full_buffered": "l.latency_sum"}
+    chars = {"token": "t.chars_before", "full_buffered": "0"}
+    ok, hit = F.col("error").isNull(), F.col("t").isNotNull()
+    when = lambda value, other: F.when(hit, value).otherwise(F.expr(f"coalesce({other}, 0)"))
+    placed = grid.withColumns({
+        "blocked": hit, "signal_token": F.col("t.token_index"), "intervention_token": _by_mode(modes, at(1)).cast("int"), "released_tokens": when(_by_mode(modes, at(0)), "l.n").cast("int"),
+        "checks": when(_by_mode(modes, at(2)), "CASE mode " + " ".join(f"WHEN '{m}' THEN {sizes[m]}" for m in modes) + " END").cast("int"),
+        "guard_time_ms": when(_by_mode(modes, lambda m: ms.get(m, f"t.ms_{m}")), "l.latency_sum").cast("double"), "_char": when(_by_mode(modes, lambda m: chars.get(m, f"t.chars_{m}")), "l.chars").cast("int"),
+    }).drop("t", "l")
     unsafe, onset = ok & (F.col("response_truth") == "unsafe"), F.col("unsafe_start_token")
     offset = F.when(unsafe & F.col("signal_token").isNotNull(), F.col("signal_token") - onset)
     leak = F.when(unsafe, F.greatest(F.lit(0), F.col("released_tokens") - onset + 1))
     columns = {
-        "guard_time_ms": F.when(ok, F.coalesce("_ms", F.lit(0.0))).otherwise(0.0), "safe_withheld_tokens": F.when(ok & (F.col("response_truth") == "safe"), F.greatest(F.lit(0), F.col("response_token_count") - F.col("released_tokens"))),
+        "safe_withheld_tokens": F.when(ok & (F.col("response_truth") == "safe"), F.greatest(F.lit(0), F.col("response_token_count") - F.col("released_tokens"))),
         "leakage_tokens": leak, "normalized_leakage": leak / F.greatest(F.lit(1), F.col("response_token_count") - onset + 1), "signal_offset_tokens": offset, "premature_block": F.coalesce(offset < 0, F.lit(False)),
         "early_lead_tokens": F.when(offset < 0, -offset), "detection_delay_tokens": F.when(offset >= 0, offset), "post_signal_buffer_delay_tokens": F.col("intervention_token") - F.col("signal_token"),
     }
-    out = timed.withColumns(columns)
     if with_text:
-        out = out.join(dense.select(*KEYS, F.col("_i").alias("released_tokens"), F.col("_char")), [*KEYS, "released_tokens"], "left").withColumn("_char", F.coalesce("_char", F.lit(0)))
-        texts = traces.select("trace_id", F.col("response"))
         begin = F.col("unsafe_start_character")
-        leaks = out.where(unsafe & begin.isNotNull()).join(texts, "trace_id")
-        cut = leaks.withColumn("_leaked", char_slice(F.col("response"), begin, F.col("_char"))).select(*KEYS, "mode", "rule", F.length("_leaked").alias("leakage_characters"), word_count(F.col("_leaked")).alias("leakage_words"))
-        out = out.join(cut, [*KEYS, "mode", "rule"], "left")
-    return out.drop("start", "end", "number", "_upto", "_ms", "_char", "n", "_sentences", "unsafe_start_character")
-
-
-def _dimensions(spark: SparkSession, rules: list[Rule], modes: tuple[str, ...]) -> DataFrame:
-    rows = [(m, k, r.policy, r.trigger_mode, r.trigger_count, r.trigger_window, r.threshold) for m in modes for k, r in enumerate(rules)]
-    return spark.createDataFrame(rows, "mode string, rule int, policy string, trigger_mode string, trigger_count int, trigger_window int, threshold double")
+        leaked = F.when(unsafe & begin.isNotNull(), char_slice(F.col("response"), begin, F.col("_char")))
+        columns |= {"leakage_characters": F.length(leaked), "leakage_words": word_count(leaked)}
+    return placed.withColumns(columns).drop("_char", "unsafe_start_character", "response")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +15,15 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read back, so that its lineage ends and a lost executor costs nothing.
 
-    The folder is spark.checkpoint.dir of the session; only where that is unset (tests on one machine) a temporary one.
+    The folder is spark.checkpoint.dir of the session. Where that is unset, a session in one process (tests) takes a
+    temporary one and a cluster raises: a folder of one machine would be lost with it.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and re.fullmatch(r"local(\[.*\])?", context.master) is None:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
