@@ -16,11 +16,11 @@ from tidegate.operators.ranking import rank_within
 
 
 def test_wilson_and_fisher(spark):
-    low, high = wilson(F.lit(28), F.lit(88))
+    low, high = wilson(F.lit(7), F.lit(25))
     e = wilson(F.lit(0), F.lit(0))
-    row = spark.range(1).select(low.alias("a"), high.alias("b"), e[0].alias("c"), fisher_exact(F.lit(8), F.lit(2), F.lit(1), F.lit(5)).alias("p")).first()
-    assert round(row.a, 4) == 0.2302 and round(row.b, 4) == 0.4213 and row.c is None
-    assert round(row.p, 4) == 0.0350
+    row = spark.range(1).select(low.alias("a"), high.alias("b"), e[0].alias("c"), fisher_exact(F.lit(3), F.lit(1), F.lit(1), F.lit(3)).alias("p")).first()
+    assert row.a == pytest.approx(0.14283, abs=1e-4) and row.b == pytest.approx(0.47577, abs=1e-4) and row.c is None
+    assert row.p == pytest.approx(34 / 70)
 
 
 def test_bootstrap_is_fixed_and_ordered(spark):
@@ -38,16 +38,16 @@ def test_bootstrap_is_fixed_and_ordered(spark):
 
 
 def test_holm(spark):
-    t = spark.createDataFrame([("a-b", 0.001), ("b-c", 0.02), ("a-c", 0.2), ("d", None)], "pair string, p double")
+    t = spark.createDataFrame([("x", 0.04), ("y", 0.004), ("z", 0.03), ("none", None)], "pair string, p double")
     got = {r.pair: r.significant for r in B.holm(t, "p", ["pair"]).collect()}
-    assert got == {"a-b": True, "b-c": True, "a-c": False, "d": False}
+    assert got == {"x": False, "y": True, "z": False, "none": False}
 
 
 def test_stopped_within(spark):
-    rows = [("token", "unsafe", True, 0, None), ("token", "unsafe", True, 3, None), ("token", "unsafe", True, 80, None), ("token", "unsafe", False, 4, None), ("token", "safe", True, 0, None)]
+    rows = [("token", "unsafe", True, 1, None), ("token", "unsafe", True, 7, None), ("token", "unsafe", True, 60, None), ("token", "unsafe", False, 1, None), ("token", "safe", True, 1, None)]
     df = spark.createDataFrame(rows, "mode string, response_truth string, blocked boolean, leakage_words int, error string")
-    got = {r.leaked_words: r.stopped_share for r in M.stopped_within(df, [0, 5, 100]).collect()}
-    assert got == {0: 0.25, 5: 0.5, 100: 0.75}
+    got = {r.leaked_words: r.stopped_share for r in M.stopped_within(df, [2, 9, 70]).collect()}
+    assert got == {2: 0.25, 9: 0.5, 70: 0.75}
 
 
 def test_streaming_metrics_without_values(spark):
@@ -57,22 +57,24 @@ def test_streaming_metrics_without_values(spark):
 
 
 def test_costs(spark):
-    tr, sq = traces(spark, [("t", "q", "x" * 20, "unsafe", 0, 1, 20)]), sequences(spark)
-    q = spark.createDataFrame([("t", 5)], "trace_id string, query_tokens int")
-    whole = R.replay(R.numbered(tokens(spark, "S" * 20), sq, tr), sq, tr, [R.Rule()], ("chunk_8",))
+    tr, sq = traces(spark, [("t", "q", "x" * 12, "unsafe", 0, 1, 12)]), sequences(spark)
+    q = spark.createDataFrame([("t", 7)], "trace_id string, query_tokens int")
+    whole = R.replay(R.numbered(tokens(spark, "S" * 12), sq, tr), sq, tr, [R.Rule()], ("chunk_8",))
     r = C.streaming_cost(whole, q).first()
-    assert (r.model_calls, r.tokens) == (20, 25)
-    stopped = R.replay(R.numbered(tokens(spark, "S" * 7 + "U" + "S" * 12), sq, tr), sq, tr, [R.Rule()], ("chunk_8",))
+    assert (r.model_calls, r.tokens) == (12, 19)
+    stopped = R.replay(R.numbered(tokens(spark, "SSSSU" + "S" * 7), sq, tr), sq, tr, [R.Rule()], ("chunk_8",))
     r = C.streaming_cost(stopped, q).first()
-    assert (r.model_calls, r.tokens) == (8, 13)
-    checks = spark.createDataFrame([("r", "t", "chunk_8", i, h, 6, 2) for i, h in ((8, 10), (16, 18), (20, 22))], "run_id string, trace_id string, mode string, token_index int, head_tokens long, tail_tokens long, generated_tokens long")
+    assert (r.model_calls, r.tokens) == (8, 15)
+    checks = spark.createDataFrame([("r", "t", "chunk_8", i, h, 3, 1) for i, h in ((8, 30), (12, 34))], "run_id string, trace_id string, mode string, token_index int, head_tokens long, tail_tokens long, generated_tokens long")
     r = C.prefix_cost(whole, checks, q).first()
-    assert (r.model_calls, r.tokens, r.tokens_cached) == (4, 10 + 18 + 22 + 24 + 5, 22 + 24 + 5)
+    assert (r.model_calls, r.tokens, r.tokens_cached) == (3, 30 + 34 + 8 + 7, 34 + 8 + 7)
+    r = C.prefix_cost(stopped, checks, q).first()
+    assert (r.model_calls, r.tokens, r.tokens_cached) == (2, 30 + 4 + 7, 30 + 4 + 7)
 
 
 def test_validation(spark):
-    good = ("q", "Café ☕ ok", "safe", "safe", 9, "Café ☕ ok")
-    bad = ("q", "A benign prefix. marker", "unsafe", "unsafe", 17, "wrong")
+    good = ("q", "Grüße ☂ da", "safe", "safe", 10, "Grüße ☂ da")
+    bad = ("q", "Erst gut, dann nicht", "unsafe", "unsafe", 10, "Erst")
     schema = "query string, response string, query_label string, response_label string, unsafe_start_index int, safe_prefix string"
     r = {x["check"]: x for x in P.validate_source(spark.createDataFrame([good, bad], schema), 2).collect()}
     assert not r["safe_prefix_exact"].passed and r["safe_prefix_exact"].detail == "1 matching, 1 mismatching"
@@ -91,7 +93,7 @@ def test_duplicates_are_refused(spark):
 
 
 def test_verdicts_and_text(spark):
-    cases = {"<answer>safe</answer>": "safe", "<evidence>unsafe</evidence><answer>safe</answer>": "safe", "<answer> uncertain </answer>": "controversial", "<answer>UNSAFE</answer>": "unsafe", "unsafe\n<evidence>safe</evidence>": "unsafe", "": None, "invalid": None, "safe or unsafe": None, "<evidence>refusal</evidence>": None}
+    cases = {"<answer>Safe</answer> end": "safe", "<note>unsafe</note> <answer>controversial</answer>": "controversial", "UNCERTAIN\nsafe after all": "controversial", "it is safe.": "safe", "<answer>safe</answer><ANSWER>\nunsafe</ANSWER>": "unsafe", "\n\n": None, "no idea": None, "safe, maybe unsafe": None, "<reason>safe</reason>": None}
     df = spark.createDataFrame([(k,) for k in cases], "raw string").select("raw", T.guard_verdict(F.col("raw")).alias("v"))
     assert {r.raw: r.v for r in df.collect()} == cases
     one = spark.createDataFrame([("　a b c\n", " x​Uncertain ")], "t string, l string")
@@ -180,3 +182,29 @@ def test_catalog_bootstraps_every_mode(spark):
     rows = catalog.a5_counted(spark, d).collect()
     assert {r["mode"] for r in rows} == set(R.MODES) and {r.policy for r in rows} == {"strict", "conservative"}
     assert {(r.metric, r.statistic) for r in rows} == {(m, s) for m, of in M.INTERVALS.items() for s in of}
+
+
+def test_strict_output_and_labels(spark):
+    rows = [(["safe", " UNSAFE\n"], ["0.1", "0.75"], ["x", "None"]), (["Controversial"], ["high"], ["a1"]), ([], ["0.5"], ["a1"]), (None, None, None), (["  "], [], []), (["risky"], ["0.5"], [""])]
+    df = spark.createDataFrame(rows, "l array<string>, p array<string>, c array<string>").select(T.guard_output(F.col("l"), F.col("p"), F.col("c")).alias("o")).select("o.*")
+    assert [tuple(r) for r in df.collect()] == [("unsafe", [], 0.75, None), ("controversial", ["a1"], None, None), (None, None, None, "empty level"), (None, None, None, "missing level"), (None, None, None, "blank level"), (None, None, None, "unknown level: risky")]
+    labels = spark.createDataFrame([(" Uncertain",), (None,)], "l string")
+    assert [r[0] for r in labels.select(T.strict_label(F.col("l"))).collect()] == ["controversial", None]
+    with pytest.raises(Exception, match="unknown label"):
+        spark.createDataFrame([("fine",)], "l string").select(T.strict_label(F.col("l"))).collect()
+    assert spark.range(7, 8).select(T.padded(F.col("id"), 4, "run-")).first()[0] == "run-0007"
+
+
+def test_columns_that_may_and_must_be_there(spark):
+    tr, sq = traces(spark, [("t", "q", "ab", "unsafe", 0, 1, 2)]), sequences(spark)
+    r = M.streaming_metrics(R.replay(R.numbered(tokens(spark, "SS"), sq, tr), sq, tr, [R.Rule()], ("token",), with_text=False)).first()
+    assert r.leakage_words_mean is None and r.leakage_mean == 2
+    with pytest.raises(ValueError, match="missing columns: query, query_label"):
+        P.require_columns(tr.drop("query").withColumn("response_label", F.lit("x")))
+
+
+def test_exemplars(spark):
+    """The median late signal is row n // 2 of the late ones by delay and ids, found without ordering a whole group."""
+    rows = [("p", "r", f"t{i:02d}", None, "unsafe", True, d, None) for i, d in enumerate([5, 1, 3, 3, 9, 3, 2])] + [("p", "r", "x", None, "unsafe", False, None, None), ("p", "r", "e", None, "unsafe", True, None, 4), ("p", "r", "f", None, "safe", True, None, None), ("q", "r", "g", "broken", "safe", True, 3, None)]
+    df = spark.createDataFrame(rows, "policy string, run_id string, trace_id string, error string, response_truth string, blocked boolean, detection_delay_tokens int, early_lead_tokens int")
+    assert {(r.policy, r.kind, r.trace_id) for r in A.exemplars(df, ["policy"]).collect()} == {("p", "median_late", "t03"), ("p", "earliest", "e"), ("p", "miss", "x"), ("p", "false_block", "f")}

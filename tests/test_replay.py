@@ -2,23 +2,20 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.helpers import LETTERS, TOKEN, dense, results, sequences, tokens, traces
 from tidegate.operators import replay as R
 
 CASES = [
-    ("UCUSUS".replace("C", "S"), "token", R.Rule("conservative"), (1, 1, 0)),
-    ("USUSUS", "token", R.Rule("conservative", "cumulative", 3), (5, 5, 4)),
-    ("SSSSSSSUSSUSSSSS", "chunk_8", R.Rule("conservative", "cumulative", 2), (11, 16, 8)),
-    ("USU", "token", R.Rule("conservative", "cumulative", 3), (None, None, 3)),
-    ("USUSUUS", "token", R.Rule("conservative", "cumulative", 2), (3, 3, 2)),
-    ("USUSUUS", "token", R.Rule("conservative", "consecutive", 2), (6, 6, 5)),
-    ("USUSUUS", "token", R.Rule("conservative", "consecutive", 3), (None, None, 7)),
-    ("USSSUSU", "token", R.Rule("conservative", "window", 2, 3), (7, 7, 6)),
-    ("USSSUSU", "token", R.Rule("conservative", "window", 2, 5), (5, 5, 4)),
-    ("SSSSSSSUUSSSSSSU", "chunk_8", R.Rule("conservative", "buffer", 2), (16, 16, 8)),
-    ("SSSSSSSUUSSSSSSU", "chunk_16", R.Rule("conservative", "buffer", 2), (9, 16, 0)),
-    ("SSSSSSSUUSSSSSSU", "token", R.Rule("conservative", "buffer", 2), (None, None, 16)),
+    ("SSCUS", "token", R.Rule("conservative"), (4, 4, 3)),
+    ("CUUCU", "token", R.Rule("strict", "cumulative", 4), (4, 4, 3)),
+    ("SSUSSUSSSSUS", "chunk_8", R.Rule("conservative", "cumulative", 2), (6, 8, 0)),
+    ("UU", "token", R.Rule("conservative", "cumulative", 5), (None, None, 2)),
+    ("UUSUUUSU", "token", R.Rule("conservative", "consecutive", 3), (6, 6, 5)),
+    ("USUU", "chunk_16", R.Rule("conservative", "window", 2, 2), (4, 4, 0)),
+    ("SUSSSSSSSUU", "chunk_8", R.Rule("conservative", "buffer", 2), (11, 11, 8)),
+    ("SUSSSSSSSUU", "full_buffered", R.Rule("conservative", "buffer", 3), (11, 11, 0)),
 ]
 
 
@@ -29,15 +26,34 @@ def test_worked_cases(spark, labels, mode, rule, expected):
 
 
 def test_premature_and_delay(spark):
-    (r,) = results(spark, "SCSU", [R.Rule("strict")], onset=3)
-    assert (r.released_tokens, r.leakage_tokens, r.signal_offset_tokens, r.premature_block, r.early_lead_tokens) == (1, 0, -1, True, 1)
-    (r,) = results(spark, "SSSU", [R.Rule("conservative")], onset=3)
-    assert (r.detection_delay_tokens, r.premature_block) == (1, False)
+    (r,) = results(spark, "SSSCSSU", [R.Rule("strict")], onset=6)
+    assert (r.released_tokens, r.leakage_tokens, r.signal_offset_tokens, r.premature_block, r.early_lead_tokens) == (3, 0, -2, True, 2)
+    (r,) = results(spark, "SSSCSSU", [R.Rule("conservative")], onset=6)
+    assert (r.detection_delay_tokens, r.premature_block, r.leakage_tokens) == (1, False, 1)
 
 
 def test_leaked_text(spark):
-    (r,) = results(spark, "SSSSUS", [R.Rule("conservative")], text="ok. bad word here now", ends=[2, 3, 7, 12, 17, 21], onset=3, onset_char=4)
-    assert (r.released_tokens, r.leakage_tokens, r.leakage_characters, r.leakage_words) == (4, 2, 8, 2)
+    (r,) = results(spark, "SSSSSSUS", [R.Rule("conservative")], text="Fine so far. Then this part is bad", ends=[5, 8, 13, 18, 23, 28, 31, 34], onset=4, onset_char=13)
+    assert (r.released_tokens, r.leakage_tokens, r.leakage_characters, r.leakage_words) == (6, 3, 15, 3)
+
+
+def test_time_and_text_at_lost_indexes(spark):
+    """A stop whose interval ends or starts at a lost index takes time and text of the last token before."""
+    text = "abcdefghijkl"
+    rows = [("r", "t", i, i, float(i), None, None, None, True, "unsafe" if i == 10 else "safe") for i in range(1, 13) if i not in (8, 12)]
+    tr, sq = traces(spark, [("t", "q", text, "unsafe", 2, 3, 12)]), sequences(spark)
+    got = {r.mode: r for r in R.replay(R.numbered(spark.createDataFrame(rows, TOKEN), sq, tr), sq, tr, [R.Rule()], ("chunk_8", "token", "sentence")).collect()}
+    assert (got["chunk_8"].released_tokens, got["chunk_8"].intervention_token, got["chunk_8"].leakage_characters, got["chunk_8"].guard_time_ms) == (8, 11, 5, 58.0)
+    assert (got["token"].released_tokens, got["token"].leakage_characters, got["token"].guard_time_ms) == (9, 7, 47.0)
+    assert (got["sentence"].released_tokens, got["sentence"].leakage_characters) == (0, 0)
+
+
+def test_tokens_move_once(spark):
+    """One exchange of the tokens, however many modes and rules are replayed."""
+    tr, sq = traces(spark, [("t", "q", "ab", "safe", 2, 3, 2)]), sequences(spark)
+    placed = tokens(spark, "SS").withColumn("latency_ms", F.col("latency_ms") + 17.25).repartition("run_id", "trace_id")
+    plan = R.replay(R.numbered(placed, sq, tr), sq, tr, [R.Rule("strict", "buffer", 2), R.Rule()])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("17.25") == 1
 
 
 def test_failed_and_empty_sequences(spark):
@@ -101,21 +117,26 @@ def test_rules_are_checked():
 
 
 def test_relabel_by_score(spark):
-    t = tokens(spark, "SSS", scores=[0.2, 0.7, 0.9])
-    assert [r.label for r in R.relabelled(t, 0.7).orderBy("token_index").collect()] == ["safe", "unsafe", "unsafe"]
+    t = tokens(spark, "SUSS", scores=[0.35, 0.1, 0.6, 0.8])
+    assert [r.label for r in R.relabelled(t, 0.6).orderBy("token_index").collect()] == ["safe", "safe", "unsafe", "unsafe"]
     t = tokens(spark, "US")
     assert [r.label for r in R.relabelled(t, 0.7).orderBy("token_index").collect()] == ["unsafe", "safe"]
+    with pytest.raises(Exception, match="has no score"):
+        R.relabelled(t, 0.7, strict=True).collect()
 
 
 def test_restriction_without_warmup_repeats_checkpoints(spark):
-    labels = "S" * 15 + "U" + "S" * 24
-    tr = traces(spark, [("t", "q", "x" * 40, "unsafe", 15, 16, 40)])
+    labels = "S" * 23 + "U" + "S" * 6
+    tr = traces(spark, [("t", "q", "x" * 30, "unsafe", 20, 21, 30)])
     sq = sequences(spark)
     numbered = R.numbered(tokens(spark, labels), sq, tr)
     blocked = {}
     for mode in ("chunk_8", "chunk_16", "chunk_32", "full_buffered"):
         (r,) = R.replay(R.restricted(numbered, mode), sq, tr, [R.Rule("conservative")], (mode,)).collect()
         blocked[mode] = r.blocked
-    assert blocked == {"chunk_8": True, "chunk_16": True, "chunk_32": False, "full_buffered": False}
-    (r,) = R.replay(R.restricted(numbered, "chunk_8", 128, 16), sq, tr, [R.Rule("conservative")], ("chunk_8",)).collect()
+    assert blocked == {"chunk_8": True, "chunk_16": False, "chunk_32": False, "full_buffered": False}
+    (r,) = R.replay(R.restricted(numbered, "chunk_8", 128, 24), sq, tr, [R.Rule("conservative")], ("chunk_8",)).collect()
     assert not r.blocked
+    with pytest.raises(ValueError, match="warm-up"):
+        R.as_asked(numbered, "chunk_8", warmup=8)
+    assert R.as_asked(numbered, "chunk_8") is numbered and R.as_asked(numbered, "chunk_8", restrict=True, warmup=8).where("label = 'unsafe'").count() == 1

@@ -92,3 +92,20 @@ def test_command_line(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "cost"), header=True).first().tokens == "4.0"
     assert spark.read.csv(str(tmp_path / "reports/response_policy_metrics"), header=True).first().tp == "1"
     assert runs.load_saved_runs(spark, str(tmp_path)).first().model == "m"
+
+
+def test_prompts_resume_and_models(spark, tmp_path):
+    """Prompts of failed traces have their error and no label; a run that stopped midway scores the rest only; models are told apart."""
+    tr = traces(spark, [("a", "q", "abcd", "unsafe", 1, 2, 4), ("b", "q", "x!", "safe", 2, 3, 2)])
+    c = config(tmp_path)
+    got = runs.run_or_load(spark, c, tr)
+    prompts = {r.trace_id: r for r in got["prompt_decisions"].collect()}
+    assert prompts["a"].risk_label == "not_evaluated" and prompts["b"].risk_label is None and prompts["b"].error.startswith("RuntimeError")
+    assert [r.trace_id for r in got["errors"].collect()] == ["b"]
+    saved = json.loads((tmp_path / "run/metadata.json").read_text())
+    assert runs.same_model(saved, c["model"]) and not runs.same_model(saved, c["model"] | {"threshold": 0.4})
+    (tmp_path / "run/metadata.json").unlink()
+    more = tr.unionByName(traces(spark, [("c", "q", "yz", "safe", 2, 3, 2)]))
+    results = runs.run_or_load(spark, c, more)["intervention_results"]
+    assert {r.trace_id for r in results.collect()} == {"a", "b", "c"}
+    assert spark.read.parquet(str(tmp_path / "run/token_decisions")).groupBy("trace_id", "token_index").count().where("count > 1").count() == 0

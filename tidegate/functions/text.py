@@ -53,6 +53,31 @@ def guard_verdict(raw: Column) -> Column:
     return F.when(label.isin("safe", "unsafe", "controversial"), label)
 
 
+def strict_label(label: Column) -> Column:
+    """normal_label; a label that is none of the three fails the query, null stays null."""
+    known = normal_label(label)
+    return F.when(known.isNull() | known.isin("safe", "controversial", "unsafe"), known).otherwise(F.raise_error(F.concat(F.lit("unknown label: "), label)))
+
+
+def guard_output(level: Column, probability: Column, category: Column) -> Column:
+    """(risk_label, risk_categories, confidence, error) of a guard's lists of levels, probabilities and categories, of which the last ones count.
+
+    No level, a blank or an unknown one is an error, with a null label. A probability that is no number is null; the
+    category `None`, an empty one and no category are no category.
+    """
+    last = lambda c: F.try_element_at(c, F.lit(-1))
+    label = strip(F.lower(last(level)))
+    error = F.when(level.isNull(), "missing level").when(F.size(level) == 0, "empty level").when(F.coalesce(label, F.lit("")) == "", "blank level").when(~label.isin("safe", "controversial", "unsafe"), F.concat(F.lit("unknown level: "), last(level)))
+    named = last(category)
+    categories = F.when(error.isNull(), F.when(named.isNull() | named.isin("", "None"), F.array().cast("array<string>")).otherwise(F.array(named)))
+    return F.struct(F.when(error.isNull(), label).alias("risk_label"), categories.alias("risk_categories"), F.when(error.isNull(), last(probability).try_cast("double")).alias("confidence"), error.alias("error"))
+
+
+def padded(number: Column, width: int, prefix: str = "") -> Column:
+    """A whole number with zeros in front, behind a prefix."""
+    return F.format_string(f"{prefix.replace('%', '%%')}%0{width}d", number)
+
+
 def template(pattern: str, *columns: Column) -> Column:
     """An instruction text with %s filled."""
     return F.format_string(pattern, *columns)

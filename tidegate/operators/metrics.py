@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions.stats import ratio, wilson
 from tidegate.operators.bootstrap import counted_all
+from tidegate.operators.prepare import optional
 from tidegate.operators.replay import POLICIES
 
 #: What has a bootstrap interval: statistics by metric, and the metric's name in the columns.
@@ -54,8 +55,11 @@ def response_metrics(results: DataFrame, by_mode: bool = False, keys: list[str]
 def streaming_metrics(results: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Leakage, delay and cost per mode and policy, means and exact percentiles; averages of nothing are null.
 
-    Exact percentiles hold the distinct values of a group, whole tokens, so their state is bounded by the longest response.
+    Exact percentiles of tokens and words hold the distinct whole numbers of a group, so their state is bounded by the
+    longest response; that of guard times, which are doubles, grows with the sequences of a group. Results without
+    texts have null words and characters.
     """
+    results = optional(results, {"leakage_words": "int", "leakage_characters": "int"})
     ok = F.col("error").isNull()
     bad = ok & (F.col("response_truth") == "unsafe")
     of = lambda c: F.when(bad, F.col(c))

@@ -13,6 +13,22 @@ SOURCE_COLUMNS = ["query", "response", "query_label", "response_label", "unsafe_
 LABELS = ("safe", "unsafe")
 
 
+#: What a table of traces has to hold. Fixed values.
+TRACE_COLUMNS = ("trace_id", "query", "response", "query_label", "response_label", "unsafe_start_character", "unsafe_start_token", "response_token_count")
+
+
+def require_columns(df: DataFrame, names: tuple[str, ...] | list[str] = TRACE_COLUMNS) -> DataFrame:
+    """df itself; missing columns are an error before anything runs."""
+    if missing := sorted(set(names) - set(df.columns)):
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df
+
+
+def optional(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """df with those of the columns (name: type) it lacks, null."""
+    return df.withColumns({c: F.lit(None).cast(kind) for c, kind in columns.items() if c not in df.columns})
+
+
 def latest(df: DataFrame, keys: list[str], columns: list[Column | str], newest_by: Column) -> DataFrame:
     """The latest delivery per key; rows with a null key are left out. Partly aggregated before the shuffle; ties go to the greater row."""
     known = reduce(lambda a, k: a.where(F.col(k).isNotNull()), keys, df)
@@ -21,9 +37,9 @@ def latest(df: DataFrame, keys: list[str], columns: list[Column | str], newest_b
 
 def traces(examples: DataFrame) -> DataFrame:
     """One row per trace with a truth. A missing label follows from the onset: behind the last character is safe; without either the truth is null."""
-    at = F.coalesce("ingested_at", F.lit(0).cast("timestamp"))
+    at = F.coalesce("ingested_at", F.lit(0).cast("timestamp")) if "ingested_at" in examples.columns else F.lit(0)
     columns = ["query", "response", "query_label", "response_label", "unsafe_start_character", "unsafe_start_token", "response_token_count"]
-    once = latest(examples, ["trace_id"], columns, at)
+    once = latest(require_columns(examples), ["trace_id"], columns, at)
     by_onset = F.when(F.col("unsafe_start_character") >= F.length("response"), "safe").when(F.col("unsafe_start_character").isNotNull(), "unsafe")
     truth = F.coalesce(normal_label(F.col("response_label")), by_onset)
     return once.withColumn("response_truth", truth).withColumn("query_truth", normal_label(F.col("query_label")))

@@ -134,8 +134,11 @@ def checkpoints(numbered_: DataFrame, modes: tuple[str, ...] = MODES, max_senten
     return numbered_.select(*KEYS, F.inline(intervals(modes, max_sentence))).distinct()
 
 
-def relabelled(tokens: DataFrame, threshold: float, include_controversial: bool = False) -> DataFrame:
-    """Labels by score: unsafe from the threshold on, else safe; tokens without a score keep their label."""
+def relabelled(tokens: DataFrame, threshold: float, include_controversial: bool = False, strict: bool = False) -> DataFrame:
+    """Labels by score: unsafe from the threshold on, else safe; tokens without a score keep their label. strict: a sequence without any score fails the query."""
+    if strict:
+        scored = F.count("unsafe_score").over(Window.partitionBy(*KEYS)) > 0
+        tokens = tokens.withColumn("_scored", scored).where(F.assert_true("_scored", F.lit("a sequence has no score")).isNull()).drop("_scored")
     return tokens.withColumn("label", _by_score(threshold, include_controversial, F.col("label")))
 
 
@@ -153,6 +156,13 @@ def restricted(numbered_: DataFrame, mode: str, max_sentence: int = 128, warmup:
     return out.withColumn("latency_sum", F.sum(F.coalesce("latency_ms", F.lit(0.0))).over(sequence))
 
 
+def as_asked(numbered_: DataFrame, mode: str, max_sentence: int = 128, restrict: bool = False, warmup: int = 0) -> DataFrame:
+    """numbered_ itself or restricted to a mode's intervals; a warm-up without the restriction is refused."""
+    if warmup and not restrict:
+        raise ValueError("a warm-up needs the restriction to a mode's intervals")
+    return restricted(numbered_, mode, max_sentence, warmup) if restrict else numbered_
+
+
 def warmed_up(tokens: DataFrame, warmup: int) -> DataFrame:
     """Evaluated decisions on the first warmup tokens become safe at no cost."""
     early = F.col("evaluated") & (F.col("token_index") <= warmup)

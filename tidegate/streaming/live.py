@@ -19,17 +19,20 @@ OUTPUT = "run_id string, trace_id string, mode string, rule int, signal_token in
 STATE = "last int, start int, fired array<boolean>, counts array<int>, runs array<int>, inside array<int>, recent array<array<int>>"
 
 
-def live_signals(decisions: DataFrame, rules: list[Rule], mode: str = "token", timeout_ms: int | None = None) -> DataFrame:
+def live_signals(decisions: DataFrame, rules: list[Rule], mode: str = "token", timeout_ms: int | None = None, max_sentence: int = 128) -> DataFrame:
     """(run_id, trace_id, mode, rule, signal_token, released_tokens), once per rule that fires.
 
-    decisions: run_id, trace_id, token_index, label, evaluated, terminal (a sentence ends at the token). Chunked, token
-    and sentence buffers; a sequence without tokens for timeout_ms is forgotten (None: never; with a timeout Spark runs batches without data too).
+    decisions: run_id, trace_id, token_index, label, evaluated, terminal (a sentence ends at the token) and, if there is
+    one, closes (the response ends at the token: its state is dropped). All buffers have a live form; sentences are cut
+    every max_sentence tokens, and a full buffer has released nothing when a rule fires. A sequence without tokens for timeout_ms is forgotten (None: never; with a timeout Spark runs batches without data too).
     """
-    if mode not in ("token", "sentence", *CHUNKS):
+    if mode not in ("token", "sentence", "full_buffered", *CHUNKS):
         raise ValueError(f"mode {mode} has no live form")
     if any(r.threshold is not None for r in rules):
         raise ValueError("live rules read labels; apply thresholds to the stream before")
 
+    has_end = "closes" in decisions.columns
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -46,6 +49,8 @@ def live_signals(decisions: DataFrame, rules: list[Rule], mode: str = "token", t
             if mode in CHUNKS and (i - 1) // CHUNKS[mode] * CHUNKS[mode] > start or mode == "token":
                 start = i - 1 if mode == "token" else (i - 1) // CHUNKS[mode] * CHUNKS[mode]
                 inside = [0] * n
+            if mode == "sentence" and i - start > max_sentence:
+                start, inside = start + (i - start - 1) // max_sentence * max_sentence, [0] * n
             for k, r in enumerate(rules):
                 flag = bool(t.evaluated) and t.label in POLICIES[r.policy]
                 runs[k] = (runs[k] if i == last + 1 else 0) + 1 if flag else 0
@@ -61,8 +66,11 @@ def live_signals(decisions: DataFrame, rules: list[Rule], mode: str = "token", t
             last = i
             if mode == "sentence" and bool(t.terminal):
                 start, inside = i, [0] * n
-        state.update((last, start, fired, counts, runs, inside, recent))
-        if timeout_ms is not None:
+        if has_end and any(b["closes"].fillna(False).any() for b in frames):
+            state.remove()
+        else:
+            state.update((last, start, fired, counts, runs, inside, recent))
+        if timeout_ms is not None and state.exists:
             state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(rows, columns=["run_id", "trace_id", "mode", "rule", "signal_token", "released_tokens"])
 
