@@ -1,8 +1,8 @@
 """Problem 2: percentiles of very large columns with a bound on the error, from sketches that can be added.
 
 A value x falls in bucket sign(x) * ceil(log(|x|) / log(gamma)) with gamma = (1 + a) / (1 - a); the middle of a bucket,
-2 * gamma^i / (gamma + 1), is within a * |x| of every value in it. Values of |x| < 1e-9 count as 0, so theirs is an
-absolute error of 1e-9, which the bounds low = high = 0 leave out. A sketch is the table of bucket counts: sketches of
+2 * gamma^i / (gamma + 1), is within a * |x| of every value in it, down to the smallest double; only 0 counts as 0.
+A sketch is the table of bucket counts: sketches of
 partitions, shards or days are added by adding counts, and the result is the same in whatever order. All of it is
 built-in aggregation: counts are combined before the shuffle, and a group has at most a few thousand buckets for all
 doubles, whatever its rows, so no task holds a group's values.
@@ -15,8 +15,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: |x| below this is counted as 0. Fixed value.
-TINY = 1e-9
 _ZERO = 0
 #: Bucket numbers are shifted so that those of positive values are positive and those of negative values negative.
 _SHIFT = 1 << 20
@@ -32,13 +30,16 @@ def bucket(value: Column, accuracy: float) -> Column:
     """Signed bucket number of a finite value."""
     size = F.abs(value)
     index = (F.ceil(F.log(size) / F.lit(math.log(gamma(accuracy)))) + _SHIFT).cast("int")
-    return F.when(size < TINY, _ZERO).when(value < 0, -index).otherwise(index)
+    return F.when(size == 0, _ZERO).when(value < 0, -index).otherwise(index)
 
 
 def middle(number: Column, accuracy: float) -> Column:
     """The value that stands for a bucket."""
     g = gamma(accuracy)
-    size = F.lit(2 / (g + 1)) * F.pow(F.lit(g), (F.abs(number) - _SHIFT).cast("double"))
+    # In two factors: the power of a subnormal or of the greatest values alone would leave the range of doubles.
+    power = (F.abs(number) - _SHIFT).cast("double")
+    half = F.floor(power / 2)
+    size = F.pow(F.lit(g), half) * (F.lit(2 / (g + 1)) * F.pow(F.lit(g), power - half))
     return F.when(number == _ZERO, F.lit(0.0)).otherwise(F.signum(number.cast("double")) * size)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,16 @@ def sentence_units(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(lambda t: None if t is None else [{"start": a, "end": b} for a, b in sentence_spans(t)])
 
 
+_UNITS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("unit", T.StringType())]))
+
+
+@F.pandas_udf(_UNITS)
+def sentence_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """sentence_units with the text of each unit, so that no row of a unit has to carry the document."""
+    for texts in batches:
+        yield texts.map(lambda t: None if t is None else [{"start": a, "end": b, "unit": t[a:b]} for a, b in sentence_spans(t)])
+
+
 def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row (key, sentence_no, start_character, end_character) per sentence unit of each row's text.
 
@@ -32,10 +42,6 @@ def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     return spans.select(F.col("_key").alias(key), F.posexplode("_spans").alias("_no", "_span")).select(key, (F.col("_no") + 1).alias("sentence_no"), F.col("_span.start").alias("start_character"), F.col("_span.end").alias("end_character"))
 
 
-def sentence_text(text: Column, start: Column, end: Column) -> Column:
-    return F.substring(text, start + 1, end - start)
-
-
 def once_per_key(df: DataFrame, key: str, columns: list[str], newest_by: str) -> DataFrame:
     """The latest delivery of each key. Rows without a key are left out: they name no document.
 

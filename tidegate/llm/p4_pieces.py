@@ -120,5 +120,9 @@ def pieces(df: DataFrame, key: str, text: str, limit: int = 200, overlap: int =
 
 
 def cut_kinds(cut: DataFrame, key: str, limit: int = 200) -> DataFrame:
-    """(key, cut_kind) of each text that was cut: forced if more than limit tokens stand between two neighbouring boundaries."""
+    """(key, cut_kind) of each text that was cut: forced if more than limit tokens stand between two neighbouring boundaries.
+
+    Read from widest_gap, which every piece carries, not from `cut`: with an overlap a piece may have to be cut off a
+    boundary although none are further apart than limit (limit - overlap is what it reaches).
+    """
     return cut.where("piece_no = 1").select(key, F.when(F.col("widest_gap") > limit, "forced").otherwise("natural").alias("cut_kind"))

@@ -8,11 +8,14 @@ open from the next round on. A round that places nothing opens new containers. W
 of rank ranges; documents find their container by their rank among documents of their size, in one range lookup.
 
 The rows are read once to count sizes, once to number them; the sweeps see counts only and run one task a capacity.
+That task is bounded by the capacity, not by the rows: a placement either uses a run of gaps up, which leaves one run
+in its stead, or serves the last item of a size, so there are never more runs of gaps than sizes and openings. It is
+so, and not a join of document rows with gap rows in every round, since a container takes one document a round then,
+and a container of capacity c needs as many rounds, each with a range sort of all rows, as it has documents.
 """
 
 from __future__ import annotations
 
-import heapq
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -35,14 +38,14 @@ def best_fit(sizes: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     done = dict.fromkeys(sizes, 0)
     out: list[tuple[int, int, int, int, int]] = []
     order = sorted((s for s in sizes if sizes[s]), reverse=True)
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs (first container, end container)
+    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs (first container, end container), ascending
     opened = 0
 
     def place(size: int, runs: list[tuple[int, int]], want: int, gap: int, made: list[tuple[int, int, int]]) -> int:
         """Put up to `want` items of a size into the gap runs; what is left of the runs stays."""
         got = 0
         while runs and got < want:
-            first, end = heapq.heappop(runs)
+            first, end = runs.pop(0)
             n = min(end - first, want - got)
             out.append((size, done[size], done[size] + n, first, capacity - gap))
             done[size] += n
@@ -50,7 +53,7 @@ def best_fit(sizes: dict[int, int], capacity: int) -> list[tuple[int, int, int,
             if gap > size:
                 made.append((gap - size, first, first + n))
             if first + n < end:
-                heapq.heappush(runs, (first + n, end))
+                runs.insert(0, (first + n, end))
         return got
 
     while order:
@@ -71,15 +74,15 @@ def best_fit(sizes: dict[int, int], capacity: int) -> list[tuple[int, int, int,
         if not placed:  # new containers: for each item over half a capacity, else for the tokens left
             big = [s for s in order if 2 * s > capacity]
             new = sum(left[s] for s in big) if big else max(1, -(-sum(s * left[s] for s in order) // capacity))
-            gaps.setdefault(capacity, [])
-            heapq.heappush(gaps[capacity], (opened, opened + new))
+            insort(gaps.setdefault(capacity, []), (opened, opened + new))
             opened += new
         for gap, first, end in sorted(made):
             runs = gaps.setdefault(gap, [])
-            if runs and runs[-1][1] == first:  # neighbours with one gap are one run again
-                runs[-1] = (runs[-1][0], end)
+            at = bisect_left(runs, (first, end))
+            if at and runs[at - 1][1] == first:  # neighbours with one gap are one run again
+                runs[at - 1] = (runs[at - 1][0], end)
             else:
-                insort(runs, (first, end))
+                runs.insert(at, (first, end))
         order = [s for s in order if left[s]]
     return _without_empty(out, gaps.get(capacity, []))
 

@@ -101,17 +101,17 @@ def mix(items: DataFrame, key: str, source: str, size: str, targets: DataFrame,
     """
     goal = targets.where("target_share > 0 and max_repeats > 0").groupBy(source_name(F.col("source")).alias("source")).agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").cast("int").alias("max_repeats")).where("source is not null")
     rows = items.select(source_name(F.col(source)).alias("source"), F.col(key).alias("_key"), F.col(size).cast("int").alias("tokens")).where("tokens > 0 and source is not null")
-    # targets is a list of sources kept by hand; its rows, at most a few thousand, are broadcast.
-    counts = rows.groupBy("source", "tokens").agg(F.count(F.lit(1)).alias("documents")).join(F.broadcast(goal), "source")
+    # One row a target; whether that is small enough to broadcast is left to the optimiser's sizes.
+    counts = rows.groupBy("source", "tokens").agg(F.count(F.lit(1)).alias("documents")).join(goal, "source")
     held = counts.groupBy("source").agg(F.sum(F.col("tokens").cast("long") * F.col("documents")).alias("held"), F.first("target_share").alias("share"), F.first("max_repeats").alias("repeats"))
     every = Window.partitionBy(F.lit(1))  # one row a source
     shares = held.withColumn("share", F.col("share") / F.sum("share").over(every))
     most = F.min(F.col("held") * F.col("repeats") / F.col("share")).over(every)
     whole = most if total_tokens is None else F.lit(float(total_tokens))
     budgets = shares.select("source", F.least(F.floor(whole * F.col("share") + F.lit(1e-6)), F.col("held") * F.col("repeats")).cast("long").alias("budget"))
-    plan = counts.join(F.broadcast(budgets), "source").groupBy("source").applyInPandas(plan_counts, "source string, tokens int, passes int, extra long")
+    plan = counts.join(budgets, "source").groupBy("source").applyInPandas(plan_counts, "source string, tokens int, passes int, extra long")
     seeded = F.xxhash64(F.lit(seed), "_key")
-    wanted = rows.join(F.broadcast(goal.select("source")), "source", "left_semi")
+    wanted = rows.join(goal.select("source"), "source", "left_semi")
     ranked = rank_within(wanted, ["source", "tokens"], [seeded, F.col("_key")], "_rank", rows_per_part, seeded)
     used = ranked.join(plan, ["source", "tokens"]).withColumn("uses", F.col("passes") + (F.col("_rank") < F.col("extra")).cast("int"))
     return used.where("uses > 0").select("source", F.col("_key").alias(key), "tokens", "uses")

@@ -80,9 +80,8 @@ def p3_units(spark: SparkSession, d: str) -> DataFrame:
     """Units of response and safe_prefix with their text."""
     rows = _responses(spark, d, ["response", "safe_prefix"])
     texts = rows.select("trace_id", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in ("response", "safe_prefix")])).alias("_t")).select("trace_id", "_t.field", "_t.text")
-    spans = texts.where("text is not null").select("trace_id", "field", "text", F.posexplode(p3_sentences.sentence_units("text")).alias("_no", "_s"))
-    start, end = F.col("_s.start"), F.col("_s.end")
-    return spans.select("trace_id", "field", (F.col("_no") + 1).alias("sentence_no"), start.alias("start_character"), end.alias("end_character"), p3_sentences.sentence_text(F.col("text"), start, end).alias("unit"))
+    found = texts.where("text is not null").select("trace_id", "field", p3_sentences.sentence_texts("text").alias("_units"))
+    return found.select("trace_id", "field", F.posexplode("_units").alias("_no", "_s")).select("trace_id", "field", (F.col("_no") + 1).alias("sentence_no"), F.col("_s.start").alias("start_character"), F.col("_s.end").alias("end_character"), "_s.unit")
 
 
 def p4_cut(spark: SparkSession, d: str) -> DataFrame:

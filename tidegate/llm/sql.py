@@ -20,7 +20,7 @@ def _quantiles(keys: str, fractions: str) -> str:
 kept AS (SELECT {keys}, metric, x, row_number() OVER (PARTITION BY {keys}, metric ORDER BY x) - 1 AS place, count(*) OVER (PARTITION BY {keys}, metric) AS n
          FROM long WHERE x IS NOT NULL AND isfinite(x) AND x >= 0),
 asked AS (SELECT *, floor(fraction * (n - 1))::BIGINT AS rank FROM kept, (SELECT unnest({fractions}) AS fraction)),
-found AS (SELECT {keys}, metric, fraction, rank, n, CASE WHEN x < 1e-9 THEN 0e0 ELSE 2 / ({_GAMMA} + 1) * pow({_GAMMA}, ceil(ln(x) / ln({_GAMMA}))) END AS v FROM asked WHERE place = rank)
+found AS (SELECT {keys}, metric, fraction, rank, n, CASE WHEN x = 0 THEN 0e0 ELSE 2 / ({_GAMMA} + 1) * pow({_GAMMA}, ceil(ln(x) / ln({_GAMMA}))) END AS v FROM asked WHERE place = rank)
 SELECT {keys}, metric, fraction, rank, round(v, 6) AS value, round(v / 1.01, 6) AS low, round(v / 0.99, 6) AS high, n AS values FROM found"""
 
 
