@@ -112,7 +112,7 @@ class _Paragraph:
         while end > self.start and self.t[end - 1] in _SPACE:
             end -= 1
         if end > self.start:
-            if self.units and not any(c.isalnum() for c in self.t[self.start : end]):
+            if self.units and not self.t[self.start].isalnum() and not any(c.isalnum() for c in self.t[self.start : end]):
                 self.units[-1] = (self.units[-1][0], end)
             else:
                 self.units.append((self.start, end))
@@ -153,19 +153,21 @@ class _Paragraph:
         i = self.start = self.skip(self.low)
         if (j := self.marker(i, False)) >= 0:
             i = j
-        event = (_EVENT_TH if _THAI.search(t, self.low, high) else _EVENT).search
+        event = (_EVENT_TH if not t.isascii() and _THAI.search(t, self.low, high) else _EVENT).search
         while i < high and (m := event(t, i, high)):
-            a, i = m.start(), m.end()
-            if m.lastgroup == "nl":
+            a, i = m.span()
+            kind = m.lastgroup
+            if kind == "nl":
                 i = self.newline(a)
-            elif m.lastgroup == "term":
+            elif kind == "term":
                 self.terminator(a, i)
-            elif m.lastgroup == "gap":
+            elif kind == "gap":
                 if not self.stack and self.thai_gap(a, i):
                     self.cut(a, self.skip(i))
             else:
                 self.mark(a)
-            i = max(i, self.resume)
+            if self.resume > i:
+                i = self.resume
         self.cut(high, high)
         return self.units
 
@@ -397,7 +399,7 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     """Start and end of every sentence unit of a text, in order. Null and blank texts have none."""
     if not text:
         return []
-    cased = any(c.isupper() for c in text)
+    cased = text != text.lower()
     out: list[tuple[int, int]] = []
     number = 0
     for low, high, code in _blocks(text):
