@@ -35,3 +35,16 @@ def test_values_that_dont_count(spark):
     assert signs[0].b == -signs[2].b and signs[1].b == 0
     with pytest.raises(ValueError):
         gamma(1.0)
+
+
+def test_values_down_to_the_smallest_double(spark):
+    """The bound holds for tiny, subnormal and very large values of both signs; only 0 is 0."""
+    values = [0.0, 5e-324, 3e-310, 7e-100, 5e-10, 9e-10, -5e-10, -2e-200, 1e300, -1.5e308]
+    rows = [(f"k{i}", v) for i, v in enumerate(values)]
+    got = {r.k: r for r in quantiles(sketch(spark.createDataFrame(rows, "k string, v double"), ["k"], ["v"]), ["k"], [0.5]).collect()}
+    assert len(got) == len(values)
+    for k, v in rows:
+        r = got[k]
+        assert (r.value == 0) == (v == 0), (v, r)
+        if abs(v) > 1e-300:
+            assert abs(r.value - v) <= 0.0100001 * abs(v) and r.low * (1 - 1e-9 * (1 if v > 0 else -1)) <= v <= r.high * (1 + 1e-9 * (1 if v > 0 else -1)), (v, r)

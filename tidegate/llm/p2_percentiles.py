@@ -1,7 +1,7 @@
 """Problem 2: percentiles of very large columns with a bound on the error, from sketches that can be added.
 
 A value x falls in bucket sign(x) * ceil(log(|x|) / log(gamma)) with gamma = (1 + a) / (1 - a); the middle of a bucket,
-2 * gamma^i / (gamma + 1), is within a * |x| of every value in it, down to the smallest double; only 0 counts as 0.
+2 * gamma^i / (gamma + 1), is within a * |x| of every value in it, down to the smallest normal double; only 0 counts as 0.
 A sketch is the table of bucket counts: sketches of
 partitions, shards or days are added by adding counts, and the result is the same in whatever order. All of it is
 built-in aggregation: counts are combined before the shuffle, and a group has at most a few thousand buckets for all
