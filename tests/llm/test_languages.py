@@ -77,3 +77,16 @@ def test_long_text_in_slices(model, monkeypatch):
     whole = model[1].log_probabilities([text])
     monkeypatch.setattr(P, "_SLICE", 1000)
     assert np.allclose(whole, model[1].log_probabilities([text]), atol=1e-4)
+
+
+def test_temperature_without_errors():
+    """Held-out rows without an error put no bound to the confidence; a unit told wrongly by a hair must not become a segment."""
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 3, 3000)
+    logits = rng.normal(0, 0.3, (3000, 3))
+    logits[np.arange(3000), y] = logits.max(axis=1) + 3
+    t = P._temperature(logits, y)
+    assert 0.3 < t < 2
+    hair = np.array([[3.0, 0.0, 0.0], [0.0, 0.5, 0.0], [3.0, 0.0, 0.0]]) / t
+    log_p = hair - np.log(np.exp(hair).sum(axis=1, keepdims=True))
+    assert P.decode(log_p, np.full(3, 1.5), 5.5).tolist() == [0, 0, 0]
